@@ -234,9 +234,14 @@ class Compiler:
         missing = [n for n in names if n not in f.columns]
         return f.having(f.df.withColumns({n: self.key(f, n) for n in missing})) if missing else f
 
+    def in_order(self, f: Frame, reverse: bool = False) -> list:
+        """Sort columns for the rows' order."""
+        keys = [SortKey(k.name, k.descending != reverse) for k in f.order]
+        return shaping.sort_columns(f.df, keys, ties=False)
+
     def ordered(self, f: Frame) -> list:
         if f.order:
-            return f.order_columns()
+            return self.in_order(f)
         return [quoted("_time").asc()] if "_time" in f.columns else [F.lit(1)]
 
     def do_eventstats(self, f: Frame, c: Command) -> Frame:
@@ -310,18 +315,18 @@ class Compiler:
 
     def do_head(self, f: Frame, c: Command) -> Frame:
         # without a sort before it the promised order decides which rows are first
-        df = f.df if not f.order or f.df.isStreaming else f.df.orderBy(*f.order_columns())
+        df = f.df if not f.order or f.df.isStreaming else f.df.orderBy(*self.in_order(f))
         return f.having(df.limit(c["n"]))
 
     def do_tail(self, f: Frame, c: Command) -> Frame:
         if not f.order:
             raise QueryError("tail needs rows in an order: sort them first")
-        last = f.df.orderBy(*f.order_columns(reverse=True)).limit(c["n"])
-        return f.having(last.orderBy(*f.order_columns()))
+        last = f.df.orderBy(*self.in_order(f, reverse=True)).limit(c["n"])
+        return f.having(last.orderBy(*self.in_order(f.having(last))))
 
     def do_dedup(self, f: Frame, c: Command) -> Frame:
         g = self.with_keys(f, c["names"])
-        df = shaping.dedup(g.df, c["names"], c["n"], g.order_columns(), g.order_key())
+        df = shaping.dedup(g.df, c["names"], c["n"], self.in_order(g), g.order_key())
         return f.having(df.select(*[quoted(n) for n in f.columns]))
 
     # ---- several inputs

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions import jsontext
-from tidelog.functions.values import Value, null, of_column
+from tidelog.functions.values import Value, null, number, of_column, text
 from tidelog.lang.tree import SortKey
 
 #: Names that mean the same field.
@@ -64,11 +64,13 @@ class Frame:
     def sortable(self) -> list[str]:
         return sorted(c for c in self.columns if not isinstance(self.type_of(c), T.MapType | T.VariantType))
 
-    def order_columns(self, reverse: bool = False) -> list[Column]:
-        return [quoted(k.name).desc() if k.descending != reverse else quoted(k.name).asc() for k in self.order]
-
     def order_key(self) -> Column | None:
         """One comparable value for min_by and max_by; None where an order cannot be one ascending key."""
         if not self.order or any(k.descending for k in self.order):
             return None
-        return F.struct(*[quoted(k.name).alias(f"k{i}") for i, k in enumerate(self.order)])
+        parts: list[Column] = []
+        for k in self.order:
+            v = of_column(quoted(k.name), self.type_of(k.name))
+            # numbers in text sort as numbers, before other text
+            parts += [number(v).isNull(), number(v), text(v)] if v.kind == "str" else [quoted(k.name)]
+        return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
