@@ -19,7 +19,7 @@ LINE_TIMES = (
     (r"(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d{1,6})?)", None),
     (r"(\d{4}/\d\d/\d\d \d\d:\d\d:\d\d)", "yyyy/MM/dd HH:mm:ss"),
     (r"(\d\d/[A-Z][a-z]{2}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4})", "dd/MMM/yyyy:HH:mm:ss xx"),
-    (r"([A-Z][a-z]{2}, \d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d [+-]\d{4})", "EEE, dd MMM yyyy HH:mm:ss xx"),
+    (r"[A-Z][a-z]{2}, (\d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d [+-]\d{4})", "dd MMM yyyy HH:mm:ss xx"),
 )
 META = ("_time", "_raw", "_source", "_sourcetype", "host", "index")
 
