@@ -80,8 +80,10 @@ def positions(docs: DataFrame, *, key: str, text: str, min_words: int) -> DataFr
 
 def named(runs: DataFrame, *by: str) -> DataFrame:
     """Runs that occur more than once, with `name`: the first position of the same values in `by`."""
-    # partial aggregation leaves one row a task of a hot line; the join back may be split where it is skewed
+    # partial aggregation leaves one row a task of a hot line; once the names are a table of their own,
+    # the join back has nothing but exchanges below it and Spark may split its skewed partitions
     firsts = runs.groupBy(*[F.col(c).alias(f"{c}_of") for c in by]).agg(F.min("pos").alias("name"), F.max("pos").alias("last")).where("last > name").drop("last")
+    firsts = written(firsts, "names")
     same = [F.col(c) == F.col(f"{c}_of") for c in by]
     condition = same[0]
     for s in same[1:]:
@@ -91,7 +93,8 @@ def named(runs: DataFrame, *by: str) -> DataFrame:
 
 def later_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """(doc, line, need): windows of `need` lines that an earlier position holds as well."""
-    runs = written(named(positions(docs, key=key, text=text, min_words=min_words), "ida", "idb").select("pos", "name", "need", F.col("words").alias("sum"), F.col("words").alias("last")), "runs")
+    lines = written(positions(docs, key=key, text=text, min_words=min_words), "lines")
+    runs = written(named(lines, "ida", "idb").select("pos", "name", "need", F.col("words").alias("sum"), F.col("words").alias("last")), "runs")
     length, found = 1, []
     while True:
         exact = runs.where((F.col("need") == length) & (F.col("name") < F.col("pos"))).select("pos", "need")
@@ -101,11 +104,13 @@ def later_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", m
         between = runs.where((F.col("need") > length) & (F.col("need") < 2 * length))
         if length > 1:
             pairs = between.join(second, F.col("pos") + F.col("need") - length == F.col("pos2")).select("pos", "need", F.col("name").alias("name1"), "name2")
+            pairs = written(pairs, "pairs")
             found.append(named(pairs, "name1", "name2", "need").where("name < pos").select("pos", "need"))
         # a part of a window has fewer than min_words words before its last line
         doubled = runs.where(F.col("sum") < min_words).join(second, F.col("pos") + length == F.col("pos2"))
         doubled = doubled.where((F.shiftright("pos", LINE_BITS) == F.shiftright("pos2", LINE_BITS)) & (F.col("sum") + F.col("sum2") - F.col("last2") < min_words))
         doubled = doubled.select("pos", F.col("name").alias("name1"), "name2", "need", (F.col("sum") + F.col("sum2")).alias("sum"), F.col("last2").alias("last"))
+        doubled = written(doubled, "doubled")
         runs = written(named(doubled, "name1", "name2").select("pos", "name", "need", "sum", "last"), "runs")
         length *= 2
         if not runs.limit(1).count():
