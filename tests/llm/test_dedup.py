@@ -157,6 +157,13 @@ def test_op8_against_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_op8_rows_of_equal_ids_are_cut_apart(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, shared), (7, f"{shared}\nown words"), (7, "other words\nand more"), (7, f"{shared}\nown words")]
+    got = Counter(r["report"]["kept_text"] for r in linedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([shared, "own words", "other words\nand more", "own words"])
+
+
 def test_op8_awkward(spark):
     docs = awkward(spark)
     got = linedup.summary(docs).collect()

@@ -14,7 +14,7 @@ windows in it. Windows of any length follow from two overlapping names of the la
 two in them. All windows that have an earlier equal one are deleted.
 
 Defined cases: null and empty texts have no lines; rows with a null id stay as they are;
-rows of equal ids stand at the same positions and do not delete each other; of equal runs the
+rows of equal ids stand at the same positions, so equal lines there do not delete each other; of equal runs the
 first by (id, line) stays, also within a document; blank lines stay unless all other lines
 go, when the text becomes empty. Ids must be below 2^38 and not negative, a document may have
 2^25 lines. An empty table gives an empty result.
@@ -33,6 +33,8 @@ from tidelog.llm.shared import small_batches, written
 
 LINE_BITS = 25
 ID_LIMIT = 1 << 38
+#: The seed of Spark's xxhash64.
+MARK_SEED = 42
 
 
 def line_words(text: str) -> tuple[list[str], np.ndarray]:
@@ -54,28 +56,29 @@ def smallest_windows(words: np.ndarray, least: int) -> np.ndarray:
 
 
 def positions(docs: DataFrame, *, key: str, text: str, min_words: int) -> DataFrame:
-    """pos, ida, idb (128-bit line ID), words, need (lines of the smallest window, 0: none)."""
+    """pos, mark (hash of the text, for rows of equal ids), ida, idb (128-bit line ID), words, need (lines of the smallest window, 0: none)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            pos, ids, words, need = [], [], [], []
+            pos, mark, ids, words, need = [], [], [], [], []
             for key_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 lines, counts = line_words(t)
                 if not 0 <= key_ < ID_LIMIT or len(lines) >> LINE_BITS:
                     raise ValueError(f"document {key_}: ids must be in [0, 2^38), lines below 2^25")
                 pos.append((key_ << LINE_BITS) + np.arange(len(lines), dtype=np.int64))
+                mark.append(np.full(len(lines), xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), MARK_SEED), np.uint64).view(np.int64))
                 ids.extend(xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in lines)
                 words.append(counts)
                 need.append(smallest_windows(counts, min_words))
             pair = np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
-            columns = [np.concatenate(pos), pair[:, 0], pair[:, 1], np.concatenate(words), np.concatenate(need)] if pos else [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["pos", "ida", "idb", "words", "need"])
+            columns = [np.concatenate(pos), np.concatenate(mark), pair[:, 0], pair[:, 1], np.concatenate(words), np.concatenate(need)] if pos else [np.zeros(0, np.int64)] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["pos", "mark", "ida", "idb", "words", "need"])
 
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text))
-    return rows.mapInArrow(run, "pos long, ida long, idb long, words long, need long")
+    return rows.mapInArrow(run, "pos long, mark long, ida long, idb long, words long, need long")
 
 
 def named(runs: DataFrame, *by: str) -> DataFrame:
@@ -92,39 +95,38 @@ def named(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def later_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
-    """(doc, line, need): windows of `need` lines that an earlier position holds as well."""
+    """(doc, mark, line, need): windows of `need` lines that an earlier position holds as well."""
     lines = written(positions(docs, key=key, text=text, min_words=min_words), "lines")
-    runs = written(named(lines, "ida", "idb").select("pos", "name", "need", F.col("words").alias("sum"), F.col("words").alias("last")), "runs")
+    runs = written(named(lines, "ida", "idb").select("pos", "mark", "name", "need", F.col("words").alias("sum"), F.col("words").alias("last")), "runs")
     length, found = 1, []
     while True:
-        exact = runs.where((F.col("need") == length) & (F.col("name") < F.col("pos"))).select("pos", "need")
+        exact = runs.where((F.col("need") == length) & (F.col("name") < F.col("pos"))).select("pos", "mark", "need")
         found.append(exact)
-        second = runs.select(F.col("pos").alias("pos2"), F.col("name").alias("name2"), F.col("sum").alias("sum2"), F.col("last").alias("last2"))
+        second = runs.select(F.col("pos").alias("pos2"), F.col("mark").alias("mark2"), F.col("name").alias("name2"), F.col("sum").alias("sum2"), F.col("last").alias("last2"))
         # windows between this length and the next: two overlapping runs
         between = runs.where((F.col("need") > length) & (F.col("need") < 2 * length))
         if length > 1:
-            pairs = between.join(second, F.col("pos") + F.col("need") - length == F.col("pos2")).select("pos", "need", F.col("name").alias("name1"), "name2")
+            pairs = between.join(second, (F.col("pos") + F.col("need") - length == F.col("pos2")) & (F.col("mark") == F.col("mark2"))).select("pos", "mark", "need", F.col("name").alias("name1"), "name2")
             pairs = written(pairs, "pairs")
-            found.append(named(pairs, "name1", "name2", "need").where("name < pos").select("pos", "need"))
+            found.append(named(pairs, "name1", "name2", "need").where("name < pos").select("pos", "mark", "need"))
         # a part of a window has fewer than min_words words before its last line
-        doubled = runs.where(F.col("sum") < min_words).join(second, F.col("pos") + length == F.col("pos2"))
+        doubled = runs.where(F.col("sum") < min_words).join(second, (F.col("pos") + length == F.col("pos2")) & (F.col("mark") == F.col("mark2")))
         doubled = doubled.where((F.shiftright("pos", LINE_BITS) == F.shiftright("pos2", LINE_BITS)) & (F.col("sum") + F.col("sum2") - F.col("last2") < min_words))
-        doubled = doubled.select("pos", F.col("name").alias("name1"), "name2", "need", (F.col("sum") + F.col("sum2")).alias("sum"), F.col("last2").alias("last"))
+        doubled = doubled.select("pos", "mark", F.col("name").alias("name1"), "name2", "need", (F.col("sum") + F.col("sum2")).alias("sum"), F.col("last2").alias("last"))
         doubled = written(doubled, "doubled")
-        runs = written(named(doubled, "name1", "name2").select("pos", "name", "need", "sum", "last"), "runs")
+        runs = written(named(doubled, "name1", "name2").select("pos", "mark", "name", "need", "sum", "last"), "runs")
         length *= 2
         if not runs.limit(1).count():
             break
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    return out.select(F.shiftright("pos", LINE_BITS).alias("doc"), F.col("pos").bitwiseAND((1 << LINE_BITS) - 1).cast("int").alias("line"), F.col("need").cast("int").alias("need"))
+    return out.select(F.shiftright("pos", LINE_BITS).alias("doc"), "mark", F.col("pos").bitwiseAND((1 << LINE_BITS) - 1).cast("int").alias("line"), F.col("need").cast("int").alias("need"))
 
 
 def repeated_runs(windows: DataFrame) -> DataFrame:
-    """doc, runs: maximal later copies as sorted (line, stop) over the lines with a word."""
-    grouped = windows.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("line", (F.col("line") + F.col("need")).alias("stop")))).alias("windows"))
-    return grouped
+    """doc, mark, windows: the later copies as sorted (line, stop) over the lines with a word."""
+    return windows.groupBy("doc", "mark").agg(F.array_sort(F.collect_set(F.struct("line", (F.col("line") + F.col("need")).alias("stop")))).alias("windows"))
 
 
 def cut(text: str, windows: list[tuple[int, int]]) -> tuple[str, int, list[int]]:
@@ -158,7 +160,8 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mi
     """A struct `row` of each document's columns, its kept text, and what was removed."""
     found = repeated_runs(later_windows(docs, key=key, text=text, min_words=min_words))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = rows.join(found, F.col("row").getField(key).cast("long") == F.col("doc"), "left").select("row", "windows")
+    same = (F.col("row").getField(key).cast("long") == F.col("doc")) & (F.xxhash64(F.col("row").getField(text)) == F.col("mark"))
+    joined = rows.join(found, same, "left").select("row", "windows")
     return joined.withColumn("report", reported(F.col("row").getField(text), F.col("windows")))
 
 
