@@ -249,10 +249,10 @@ def grouped_documents(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, *, size: int = 5, radius: int = 12, wide_radius: int | None = 48, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, *, size: int = 5, radius: int = 13, wide_radius: int | None = 48, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group: that of the smallest id. Rows with a null id stay.
 
-    At radius 12 of 64 bits and 48 of 256 the fingerprints agree in at least 0.81 of their bits.
+    At 13 of 64 bits and 48 of 256 the fingerprints agree in at least 0.8 of their bits.
     """
     groups = near_groups(docs, size=size, radius=radius, wide_radius=wide_radius, key=key, text=text)
     first = groups.where(F.col(key).cast("long") == F.col("component_id")).select(F.col("component_id").alias("__first")).distinct()
