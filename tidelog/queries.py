@@ -274,6 +274,112 @@ query(
 query("parse_syslog", 'from events | let line = f"<{event_id % 192}>Feb 10 08:12:03 host{user_id} app[{event_id}]: said {event_type}" | unpack_syslog from line fields (facility, severity, hostname, procid, message) | fields event_id, facility, severity, hostname, procid, message', "SELECT event_id, (event_id % 192) // 8 AS facility, (event_id % 192) % 8 AS severity, 'host' || user_id AS hostname, event_id::VARCHAR AS procid, 'said ' || event_type AS message FROM events")
 query("json_paths", "from events | json field=props k AS key | fields event_id, key", "SELECT event_id, props->>'k' AS key FROM events")
 
+
+
+def parsed(name: str, format: str, line: str, fields: dict[str, str], options: str = "") -> None:
+    """Lines of a format made from events, read back: `fields` maps each extracted field to its SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(line).alias("line"))
+        return comparable(Engine(spark).run_on(df, f"| unpack_{format} from line {options} fields ({', '.join(fields)}) | fields event_id, {', '.join(fields)}"))
+
+    QUERIES[name] = run
+    ORACLES[name] = "SELECT event_id, " + ", ".join(f'{sql} AS "{f}"' for f, sql in fields.items()) + " FROM events"
+
+
+parsed("parse_clf", "clf", """concat('10.1.1.', event_id % 250, ' - - [10/Feb/2026:08:12:03 +0000] "GET /', event_type, ' HTTP/1.0" 200 ', user_id)""", {"client_ip": "'10.1.1.' || (event_id % 250)", "method": "'GET'", "uri": "'/' || event_type", "status": "200::BIGINT", "bytes": "user_id"})
+parsed(
+    "parse_nginx_error",
+    "nginx_error",
+    """concat('2026/02/10 08:12:03 [error] ', user_id, '#', event_id, ': *', event_id, ' failed on ', event_type, ', client: 10.0.0.1, server: _, request: "GET /x/', event_id, ' HTTP/1.1", host: "h"')""",
+    {"severity": "'error'", "pid": "user_id", "tid": "event_id", "cid": "event_id", "message": "'failed on ' || event_type", "client": "'10.0.0.1'", "method": "'GET'", "uri": "'/x/' || event_id", "host": "'h'"},
+)
+parsed(
+    "parse_apache_error",
+    "apache_error",
+    "concat('[Tue Feb 10 08:12:03.123456 2026] [core:', event_type, '] [pid ', user_id, ':tid 7] [client 10.0.0.1:', event_id, '] AH00124: too many')",
+    {"module": "'core'", "severity": "event_type", "pid": "user_id", "tid": "7::BIGINT", "client_ip": "'10.0.0.1'", "client_port": "event_id", "error_code": "'AH00124'", "message": "'too many'"},
+)
+parsed("parse_cef", "cef", r"concat('CEF:0|Vendor|Pro\\|duct|1.0|', event_id, '|', event_type, '|5|src=10.0.0.1 msg=hello ', event_type, ' there suid=', user_id)", {"device_product": "'Pro|duct'", "signature_id": "event_id::VARCHAR", "name": "event_type", "severity": "'5'", "msg": "'hello ' || event_type || ' there'", "suid": "user_id::VARCHAR"})
+parsed("parse_docker", "docker", """concat('{"log":"', event_type, ' ', user_id, '","stream":"stdout","time":"2026-02-10T08:12:03Z"}')""", {"log": "event_type || ' ' || user_id", "stream": "'stdout'", "time": "'2026-02-10T08:12:03Z'"})
+parsed("parse_redis", "redis", "concat(user_id, ':M 10 Feb 2026 08:12:03.456 # ', event_type, ' done')", {"pid": "user_id", "role": "'master'", "level": "'warning'", "message": "event_type || ' done'"})
+parsed("parse_postgres", "postgres", "concat('2026-02-10 08:12:03.456 UTC [', user_id, '] bob@shop LOG:  duration: ', event_id, '.5 ms  statement: SELECT ', event_id)", {"pid": "user_id", "user": "'bob'", "database": "'shop'", "severity": "'LOG'", "duration_ms": "event_id + 0.5::DOUBLE", "statement": "'SELECT ' || event_id"})
+parsed(
+    "parse_mysql_slow",
+    "mysql_slow",
+    r"concat('# Time: 2026-02-10T08:12:03Z\n# User@Host: root[root] @ localhost [127.0.0.1]  Id: ', user_id, '\n# Query_time: 2.5  Lock_time: 0.1 Rows_sent: 1  Rows_examined: ', event_id, '\nuse shop;\nSET timestamp=1;\nSELECT ', event_id, ';')",
+    {"user": "'root'", "connection_id": "user_id", "query_time": "2.5::DOUBLE", "rows_examined": "event_id", "schema": "'shop'", "statement": "'SELECT ' || event_id || ';'"},
+)
+parsed(
+    "parse_haproxy",
+    "haproxy",
+    """concat('haproxy[1]: 10.0.0.1:', user_id, ' [10/Feb/2026:08:12:03.456] fe be/srv1 10/0/30/69/109 200 ', event_id, ' - - ---- 1/1/1/1/0 0/0 "GET /', event_type, ' HTTP/1.1"')""",
+    {"client_port": "user_id", "frontend": "'fe'", "backend": "'be'", "server": "'srv1'", "tt": "109::BIGINT", "status": "200::BIGINT", "bytes": "event_id", "uri": "'/' || event_type", "protocol": "'HTTP/1.1'"},
+)
+parsed("parse_w3c", "w3c", "concat('2026-02-10 ', event_type, ' /p ', user_id)", {"date": "'2026-02-10'", "cs_method": "event_type", "cs_uri": "'/p'", "sc_status": "user_id::VARCHAR"}, 'header="#Fields: date cs-method cs-uri sc-status"')
+
+
+@built("parse_leef", "SELECT event_type AS usr, count(*) AS n FROM events GROUP BY 1")
+def _leef(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = e.frames(["events"])[0].df.select(F.expr("concat('LEEF:2.0|V|P|1|', event_id, '|^|src=1.1.1.1^usr=', event_type)").alias("line"))
+    return e.run_on(df, "| parse leef(line) extract (usr) | stats count as n by usr")
+
+
+@built("ingest_hec", "SELECT ts AS _time, event_type AS _raw, 'app' AS _source, 'idx' AS index, user_id::VARCHAR AS \"user\" FROM events")
+def _hec(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.sources.readers import hec_events
+
+    row = F.struct((F.unix_micros("_time") / 1e6).alias("time"), F.col("event_type").alias("event"), F.lit("app").alias("source"), F.lit("idx").alias("index"), F.struct(F.col("user_id").cast("string").alias("user")).alias("fields"))
+    out = hec_events(e.frames(["events"])[0].df.select(F.to_json(row).alias("value")))
+    return out.select("_time", "_raw", "_source", "index", F.get_json_object("fields", "$.user").alias("user"))
+
+
+@built("ingest_bulk", "SELECT 'logs' AS index, event_id::VARCHAR AS _id, event_type AS message FROM events WHERE event_id % 3 <> 0")
+def _bulk(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.sources.readers import bulk_events
+
+    pair = F.array(
+        F.struct((2 * F.col("event_id")).alias("n"), F.concat(F.when(F.col("event_id") % 3 == 0, '{"delete":').otherwise('{"index":'), F.lit('{"_index":"logs","_id":"'), F.col("event_id").cast("string"), F.lit('"}}')).alias("value")),
+        F.struct((2 * F.col("event_id") + 1).alias("n"), F.to_json(F.struct(F.col("event_type").alias("message"))).alias("value")),
+    )
+    lines = e.frames(["events"])[0].df.select(F.explode(pair).alias("x")).select("x.*")
+    return bulk_events(lines, "n").select("index", "_id", "message")
+
+
+@built("ingest_otlp", "SELECT event_type AS _raw, CASE user_id % 6 WHEN 0 THEN 'TRACE' WHEN 1 THEN 'DEBUG' WHEN 2 THEN 'INFO' WHEN 3 THEN 'WARN' WHEN 4 THEN 'ERROR' ELSE 'FATAL' END AS level, 'svc' AS service, event_id::VARCHAR AS trace_id FROM events")
+def _otlp(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.sources.readers import otlp_logs
+
+    value = F.format_string(
+        '{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc"}}]},"scopeLogs":[{"scope":{"name":"s"},"logRecords":[{"timeUnixNano":"1770710400000000000","severityNumber":%d,"body":{"stringValue":"%s"},"traceId":"%d"}]}]}]}',
+        F.col("user_id") % 6 * 4 + 1, F.col("event_type"), F.col("event_id"),
+    )
+    return otlp_logs(e.frames(["events"])[0].df.select(value.alias("value"))).select("_raw", "level", "service", "trace_id")
+
+
+@built("ingest_dedup", "SELECT DISTINCT event_type || (user_id % 5) AS _raw FROM events")
+def _ingest_dedup(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.sources.readers import without_repeats
+
+    return without_repeats(e.frames(["events"])[0].df.select(F.concat("event_type", (F.col("user_id") % 5).cast("string")).alias("_raw")))
+
+
+@built("tee", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _tee(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{e.catalog.warehouse}/tee-{os.urandom(4).hex()}"
+    e.query(f'from events | stats count as n by event_type | tee "{path}"')
+    return spark.read.schema("event_type string, n long").json(path)
+
+
+@built("file_source", "SELECT event_id, event_type FROM events WHERE value > 80")
+def _file_source(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.sources.readers import file_source
+
+    path = f"{e.catalog.warehouse}/lines-{os.urandom(4).hex()}"
+    e.frames(["events"])[0].df.select(F.to_json(F.struct("event_id", "event_type", "value")).alias("value")).write.text(path)
+    return e.run_on(file_source(spark, path), "| where value > 80 | fields event_id, event_type")
+
+
 # ---- analytics
 
 for method, sql in {
