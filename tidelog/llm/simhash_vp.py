@@ -43,6 +43,8 @@ SHARD_ROWS = 20_000
 FULL = 512
 #: Cells of the comparison matrix made at once.
 MATRIX = 1 << 22
+#: Pairs whose further bits are compared at once.
+PAIRS = 1 << 18
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -152,6 +154,10 @@ class Links:
                 self.parent = up
 
 
+def wide_distance(fp: np.ndarray, rest: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp[i] ^ fp[j]).astype(int) + np.bitwise_count(rest[i] ^ rest[j]).sum(axis=1)
+
+
 def linked_rows(fp: np.ndarray, rest: np.ndarray | None, home: np.ndarray, radius: int, wide_radius: int) -> np.ndarray:
     """The root of every row of one shard; only pairs with a row that lives there are compared."""
     links, own = Links(len(fp)), np.flatnonzero(home)
@@ -163,7 +169,7 @@ def linked_rows(fp: np.ndarray, rest: np.ndarray | None, home: np.ndarray, radiu
         apart = i != j
         i, j = i[apart], j[apart]
         if rest is not None and len(i):
-            near = np.concatenate([np.bitwise_count(fp[i[k : k + MATRIX]] ^ fp[j[k : k + MATRIX]]).astype(int) + np.bitwise_count(rest[i[k : k + MATRIX]] ^ rest[j[k : k + MATRIX]]).sum(axis=1) for k in range(0, len(i), MATRIX)]) <= wide_radius
+            near = np.concatenate([wide_distance(fp, rest, i[k : k + PAIRS], j[k : k + PAIRS]) for k in range(0, len(i), PAIRS)]) <= wide_radius
             i, j = i[near], j[near]
         if len(i):
             links.unite(i, j)
