@@ -39,10 +39,11 @@ def test_op1_awkward(spark):
 
 
 def test_op5_held_out(spark):
-    got = op5_toxicity(spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").collect()
+    sf = "/root/testdata/sf0.1"  # some 300 toxic rows to learn from
+    got = op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     held = [r for r in got if r.held_out]
-    assert sum(r.predicted == r.toxic for r in held) > 0.9 * len(held)
+    assert sum(r.predicted == r.toxic for r in held) > 0.94 * len(held)
 
 
 def test_op5_awkward(spark):

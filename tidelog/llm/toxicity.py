@@ -139,8 +139,11 @@ def packed(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, gap]), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
-def train_network(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = 8, seed: int = 11, batch: int = 64, rate: float = 0.01) -> Network:
+def train_network(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = 8, least_steps: int = 400, seed: int = 11, batch: int = 64, rate: float = 0.01) -> Network:
+    """Adam over `epochs` passes, or as many more as small samples need for `least_steps` steps."""
     net, rng = Network(seed), np.random.default_rng(seed)
+    batch = max(8, min(batch, len(docs) // 8))
+    epochs = max(epochs, -(-least_steps * batch // max(1, len(docs))))
     adam = {"t": 0, "m": {k: np.zeros_like(v) for k, v in net.p.items()}, "v": {k: np.zeros_like(v) for k, v in net.p.items()}}
     steps, total = 0, epochs * -(-len(docs) // batch)
     for _ in range(epochs):
@@ -245,6 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = 2000, negatives:
     rows = sample.mapInArrow(encode, f"doc_id {kind}, toxic int, lang string, ids binary").collect()
     rows.sort(key=lambda r: zlib.crc32(f"{seed}:{r[0]}".encode()))
     encoded, y = [np.frombuffer(r[3], "<i4") for r in rows], np.array([r[1] for r in rows], np.float32)
+    if len(set(y.tolist())) < 2:
+        return None
     held = int(len(rows) * calibration)
     if len(set(y[held:])) < 2:
         held = 0
