@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import SPACE, WORD, bind
+from tidelog.llm.shared import SPACE, WORD, bind, written
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent lines up to which they are broadcast; a row has about 40 bytes.
@@ -101,7 +101,7 @@ def frequent_lines(docs: DataFrame, *, text: str = "text", host: str = "source",
 
 def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.1, least_kept: float = 0.3, keep_rows: bool = False) -> DataFrame:
     """Measures and verdict of every document; with keep_rows as a struct `row` of its columns, and `removed`, hashes of lines to remove."""
-    frequent = frequent_lines(docs, text=text, host=host, min_docs=min_docs, share=share)
+    frequent = written(frequent_lines(docs, text=text, host=host, min_docs=min_docs, share=share), "frequent")
     few = frequent.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     source = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []
     rows = docs.select(*source, F.col(key).alias("doc_id"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("body"))
