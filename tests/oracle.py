@@ -6,9 +6,7 @@ import duckdb
 
 
 def normal(v):
-    if isinstance(v, float):
-        return 0.0 if v == 0 else round(v, 3)
-    return v
+    return 0.0 if isinstance(v, float) and v == 0 else v
 
 
 def rows_of(columns, rows):

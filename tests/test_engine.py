@@ -277,6 +277,28 @@ def test_streams(spark, e, tmp_path):
     assert alert.check(e) and not Alert("none", "| where v > 99", [log_channel(seen)]).check(e)
 
 
+def test_shortcuts(spark, e):
+    from tidelog import shortcuts
+
+    e.register("t", table(spark, "_time timestamp, k string", *[(datetime(2026, 2, 10, h), "ab"[h % 2]) for h in range(10)]))
+    assert shortcuts.count(e, "t") == 10 and shortcuts.count(e, "t", "k=a") == 5 and shortcuts.count(e, "t", '| where k="b"') == 5
+    assert shortcuts.sample(e, "t", 3).collect() == shortcuts.sample(e, "t", 3).collect()
+    assert [r["_time"].hour for r in shortcuts.last(e, "t", 2).collect()] == [8, 9]
+    assert shortcuts.top(e, "t", "k", 1).first()["count"] == 5
+    waits: list = []
+    assert [df.count() for df in shortcuts.watch(e, "from t[-24h..] | where k=\"a\"", 3600, waits.append, 2)] == [5, 4] and waits == [3600]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidelog.__main__ import main
+
+    (tmp_path / "x.log").write_text('{"level":"ERROR","n":1}\n{"level":"info","n":2}\n')
+    assert main(["| stats sum(n) as s by level | sort level", "--file", str(tmp_path / "x.log"), "--format", "csv"]) == 0
+    assert capsys.readouterr().out == "level,s\nERROR,1\ninfo,2\n"
+    assert main(["| nonsense here", "--file", str(tmp_path / "x.log")]) == 1
+    assert "error:" in capsys.readouterr().err
+
+
 def test_plans_push_filters_and_columns(spark, sf):
     from tidelog.queries import engine
 

@@ -490,6 +490,39 @@ def _stream_view(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.read()
 
 
+@built("stream_projection", "SELECT event_id, upper(event_type) AS kind FROM events WHERE event_type IN ('click', 'view')")
+def _stream_projection(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.streaming.live import projection_view
+
+    root = f"{e.catalog.warehouse}/projection-{os.urandom(4).hex()}"
+    projection_view(e, streamed(spark, sf_dir), '| where event_type in ("click", "view") | eval kind = upper(event_type) | fields event_id, kind', f"{root}/out", f"{root}/state", time="ts", once=True).awaitTermination()
+    return spark.read.schema("event_id long, kind string").parquet(f"{root}/out")
+
+
+@built("stream_alert", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 1")
+def _stream_alert(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.streaming.live import Alert, log_channel
+
+    seen: list = []
+    alert = Alert("errors", '| where event_type = "error" | stats count as n by user_id | where n > 1', [log_channel(seen)], limit=100_000)
+    alert.follow(e, streamed(spark, sf_dir), f"{e.catalog.warehouse}/alert-{os.urandom(4).hex()}", time="ts", once=True).awaitTermination()
+    return spark.createDataFrame([(r["user_id"], r["n"]) for _, rows in seen for r in rows], "user_id long, n long")
+
+
+@built("shortcut_diff", "WITH a AS (SELECT event_type, count(*) AS count FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-21' AND TIMESTAMP '2024-01-31' GROUP BY 1), b AS (SELECT event_type, count(*) AS count FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-11' AND TIMESTAMP '2024-01-21' GROUP BY 1) SELECT event_type, a.count, b.count::DOUBLE AS previous_count, round(100.0 * (a.count - b.count)::DOUBLE / b.count, 4) AS change_count FROM a LEFT JOIN b USING (event_type)")
+def _shortcut_diff(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.shortcuts import diff
+
+    return diff(e, "events", "10d", "stats count by event_type")
+
+
+@built("shortcut_last", "SELECT event_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 5")
+def _shortcut_last(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.shortcuts import last
+
+    return last(e, "events", 5, "event_type=click").select("event_id")
+
+
 @built("stream_windows", "SELECT date_trunc('hour', ts) AS _time, event_type, count(*) AS count FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL")
 def _stream_windows(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.streaming.live import windowed_counts

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,6 +132,13 @@ class ContinuousView:
         return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def projection_view(engine: Engine, stream: DataFrame, text: str, path: str, checkpoint: str, *, time: str | None = None, once: bool = False) -> StreamingQuery:
+    """A view without aggregates: the filtered and evaluated rows of a stream, appended to a table."""
+    rows = tail(engine, stream, text, time=time)
+    writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def windowed_counts(stream: DataFrame, span: str, *, late: str = "10 minutes", by: Sequence[str] = ()) -> DataFrame:
     """Tumbling counts with a watermark: rows later than `late` are dropped, windows are final."""
     return stream.withWatermark("_time", late).groupBy(F.window("_time", span), *[quoted(b) for b in by]).agg(F.count(F.lit(1)).alias("count")).select(F.col("window.start").alias("_time"), *[quoted(b) for b in by], "count")
@@ -170,8 +176,3 @@ class Alert:
 def log_channel(sink: list) -> Callable[[str, list[dict]], None]:
     """A channel that keeps what it is told."""
     return lambda name, rows: sink.append((name, rows))
-
-
-def diff(engine: Engine, text: str, period: float, now: datetime | None = None) -> DataFrame:
-    """This period next to the one before: the command-line shortcut for compare."""
-    return engine.query(f"{text} | compare previous {int(period)}s")
