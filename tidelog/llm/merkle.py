@@ -99,14 +99,18 @@ def ranges(docs: DataFrame, key: str) -> tuple[list, object, bool]:
     return sorted({x for x in found if x > least}), least, nulls > 0
 
 
-def range_of(key: Column, bounds: list) -> Column:
+def constants(values: list, kind: str) -> Column:
+    """An array that the optimiser folds to one literal, however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def range_of(key: Column, bounds: list, kind: str) -> Column:
     """How many bounds are at or below the key, by a search in two levels."""
     if not bounds:
         return F.lit(0)
-    groups = [bounds[k : k + GROUP] for k in range(0, len(bounds), GROUP)]
-    group = F.size(F.filter(F.array(*[F.lit(g[0]) for g in groups]), lambda x: x <= key))
-    rows = F.array(*[F.array(*map(F.lit, g)) for g in groups])
-    place = bind(group, lambda g: F.when(g == 0, F.lit(0)).otherwise((g - 1) * GROUP + F.size(F.filter(F.get(rows, g - 1), lambda x: x <= key))))
+    group = F.size(F.filter(constants(bounds[::GROUP], kind), lambda x: x <= key))
+    within = lambda g: F.slice(constants(bounds, kind), (g - 1) * GROUP + 1, F.lit(GROUP))
+    place = bind(group, lambda g: F.when(g == 0, F.lit(0)).otherwise((g - 1) * GROUP + F.size(F.filter(within(g), lambda x: x <= key))))
     return F.coalesce(place, F.lit(0))
 
 
@@ -114,11 +118,11 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tu
     """Rows of ranges of ids: key, body, next_body, own (false: first row of the next range, shown again here)."""
     bounds, least, nulls = ranges(docs, key)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    rows = rows.withColumn("range", range_of(F.col("key"), bounds))
+    kind = docs.schema[key].dataType.simpleString()
+    rows = rows.withColumn("range", range_of(F.col("key"), bounds, kind))
     begins = F.lit(False)
     if bounds:
-        all_bounds = F.array(*map(F.lit, bounds))
-        begins = F.coalesce((F.col("range") > 0) & (F.get(all_bounds, F.col("range") - 1) == F.col("key")), F.lit(False))
+        begins = F.coalesce((F.col("range") > 0) & (F.get(constants(bounds, kind), F.col("range") - 1) == F.col("key")), F.lit(False))
     first = F.col("key").isNull() if nulls else F.coalesce(F.col("key") == F.lit(least), F.lit(False))
 
     def place(range_: Column, turn: int) -> Column:
