@@ -107,15 +107,13 @@ def brute_lines(rows, least=50):
     for k, t in sorted(rows):
         lines = [x for x in t.split("\n") if x.encode().split()]
         words = [len(x.encode().split()) for x in lines]
+        # every run that has enough words, however long
         for i in range(len(lines)):
-            total, j = 0, i
-            while j < len(lines) and total < least:
-                total += words[j]
-                j += 1
-            if total >= least:
-                window = "\n".join(lines[i:j])
-                if first.setdefault(window, (k, i)) != (k, i):
-                    where.append((k, i, j))
+            for j in range(i + 1, len(lines) + 1):
+                if sum(words[i:j]) >= least:
+                    window = "\n".join(lines[i:j])
+                    if first.setdefault(window, (k, i)) != (k, i):
+                        where.append((k, i, j))
     gone = {}
     for k, i, j in where:
         gone.setdefault(k, set()).update(range(i, j))

@@ -8,9 +8,9 @@ name is the first position of the interval, which is all that a decision needs;
 intervals among themselves would change nothing, so no global sort is done. Positions whose
 run occurs once leave after each step, and so do runs that no window needs.
 
-A repeated run counts when it has `min_words` words. Each position has one smallest window of
-whole lines with that many words; every maximal repeated run that counts is the union of the
-windows in it. Windows of any length follow from two overlapping names of the largest power of
+A repeated run counts when it has `min_words` words. Smallest windows are runs of whole lines
+that would have fewer without their last line, or without their first; every maximal repeated
+run that counts is the union of the smallest windows in it. Windows of any length follow from two overlapping names of the largest power of
 two in them. All windows that have an earlier equal one are deleted.
 
 Defined cases: null and empty texts have no lines; rows with a null id stay as they are;
@@ -49,21 +49,25 @@ def line_words(text: str) -> tuple[list[str], np.ndarray]:
 
 
 def smallest_windows(words: np.ndarray, least: int) -> np.ndarray:
-    """For each line the length of the shortest run from it with `least` words; 0 where the text ends before."""
+    """(first line, lines) of all runs with `least` words that lose them with their last line, or with their first."""
+    n = len(words)
     sums = np.concatenate([[0], np.cumsum(words)])
-    ends = np.searchsorted(sums, sums[:-1] + least)
-    return np.where(ends <= len(words), ends - np.arange(len(words)), 0)
+    starts, stops = np.arange(n), np.searchsorted(sums, sums[:-1] + least)
+    ends, begins = np.arange(1, n + 1), np.searchsorted(sums, sums[1:] - least, side="right") - 1
+    forward, backward = stops <= n, begins >= 0
+    pairs = np.concatenate([np.stack([starts, stops - starts], 1)[forward], np.stack([begins, ends - begins], 1)[backward]])
+    return np.unique(pairs, axis=0)
 
 
 def positions(docs: DataFrame, *, key: str, text: str, min_words: int) -> DataFrame:
-    """pos, mark (hash of the text, for rows of equal ids), ida, idb (128-bit line ID), words, need (lines of the smallest window, 0: none)."""
+    """pos, mark (hash of the text, for rows of equal ids), ida, idb (128-bit line ID), words, needs (lengths of the smallest windows from here)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            pos, mark, ids, words, need = [], [], [], [], []
+            pos, mark, ids, words, lengths, counts_of = [], [], [], [], [], []
             for key_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 lines, counts = line_words(t)
                 if not 0 <= key_ < ID_LIMIT or len(lines) >> LINE_BITS:
@@ -72,13 +76,17 @@ def positions(docs: DataFrame, *, key: str, text: str, min_words: int) -> DataFr
                 mark.append(np.full(len(lines), xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), MARK_SEED), np.uint64).view(np.int64))
                 ids.extend(xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in lines)
                 words.append(counts)
-                need.append(smallest_windows(counts, min_words))
+                windows = smallest_windows(counts, min_words)
+                lengths.append(windows[:, 1])
+                counts_of.append(np.bincount(windows[:, 0], minlength=len(lines)))
             pair = np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
-            columns = [np.concatenate(pos), np.concatenate(mark), pair[:, 0], pair[:, 1], np.concatenate(words), np.concatenate(need)] if pos else [np.zeros(0, np.int64)] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["pos", "mark", "ida", "idb", "words", "need"])
+            columns = [np.concatenate(pos), np.concatenate(mark), pair[:, 0], pair[:, 1], np.concatenate(words)] if pos else [np.zeros(0, np.int64)] * 5
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts_of))]) if pos else np.zeros(1, np.int64)
+            needs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lengths) if pos else np.zeros(0, np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], needs], ["pos", "mark", "ida", "idb", "words", "needs"])
 
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text))
-    return rows.mapInArrow(run, "pos long, mark long, ida long, idb long, words long, need long")
+    return rows.mapInArrow(run, "pos long, mark long, ida long, idb long, words long, needs array<long>")
 
 
 def named(runs: DataFrame, *by: str) -> DataFrame:
@@ -97,24 +105,24 @@ def named(runs: DataFrame, *by: str) -> DataFrame:
 def later_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """(doc, mark, line, need): windows of `need` lines that an earlier position holds as well."""
     lines = written(positions(docs, key=key, text=text, min_words=min_words), "lines")
-    runs = written(named(lines, "ida", "idb").select("pos", "mark", "name", "need", F.col("words").alias("sum"), F.col("words").alias("last")), "runs")
+    runs = written(named(lines, "ida", "idb").select("pos", "mark", "name", "needs", F.col("words").alias("sum"), F.col("words").alias("first"), F.col("words").alias("last")), "runs")
     length, found = 1, []
     while True:
-        exact = runs.where((F.col("need") == length) & (F.col("name") < F.col("pos"))).select("pos", "mark", "need")
+        exact = runs.where(F.array_contains("needs", F.lit(length).cast("long")) & (F.col("name") < F.col("pos"))).select("pos", "mark", F.lit(length).cast("long").alias("need"))
         found.append(exact)
         second = runs.select(F.col("pos").alias("pos2"), F.col("mark").alias("mark2"), F.col("name").alias("name2"), F.col("sum").alias("sum2"), F.col("last").alias("last2"))
         # windows between this length and the next: two overlapping runs
-        between = runs.where((F.col("need") > length) & (F.col("need") < 2 * length))
         if length > 1:
+            between = runs.select("pos", "mark", "name", F.explode(F.filter("needs", lambda n: (n > length) & (n < 2 * length))).alias("need"))
             pairs = between.join(second, (F.col("pos") + F.col("need") - length == F.col("pos2")) & (F.col("mark") == F.col("mark2"))).select("pos", "mark", "need", F.col("name").alias("name1"), "name2")
             pairs = written(pairs, "pairs")
             found.append(named(pairs, "name1", "name2", "need").where("name < pos").select("pos", "mark", "need"))
-        # a part of a window has fewer than min_words words before its last line
-        doubled = runs.where(F.col("sum") < min_words).join(second, (F.col("pos") + length == F.col("pos2")) & (F.col("mark") == F.col("mark2")))
-        doubled = doubled.where((F.shiftright("pos", LINE_BITS) == F.shiftright("pos2", LINE_BITS)) & (F.col("sum") + F.col("sum2") - F.col("last2") < min_words))
-        doubled = doubled.select("pos", "mark", F.col("name").alias("name1"), "name2", "need", (F.col("sum") + F.col("sum2")).alias("sum"), F.col("last2").alias("last"))
+        # a part of a window has fewer than min_words words without its last line, or without its first
+        doubled = runs.join(second, (F.col("pos") + length == F.col("pos2")) & (F.col("mark") == F.col("mark2")))
+        doubled = doubled.where((F.shiftright("pos", LINE_BITS) == F.shiftright("pos2", LINE_BITS)) & (F.col("sum") + F.col("sum2") - F.greatest("first", "last2") < min_words))
+        doubled = doubled.select("pos", "mark", F.col("name").alias("name1"), "name2", "needs", (F.col("sum") + F.col("sum2")).alias("sum"), "first", F.col("last2").alias("last"))
         doubled = written(doubled, "doubled")
-        runs = written(named(doubled, "name1", "name2").select("pos", "mark", "name", "need", "sum", "last"), "runs")
+        runs = written(named(doubled, "name1", "name2").select("pos", "mark", "name", "needs", "sum", "first", "last"), "runs")
         length *= 2
         if not runs.limit(1).count():
             break
@@ -199,7 +207,8 @@ WITH l AS (SELECT doc_id, n, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\
   SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
 s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i, sum(words) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM l WHERE words > 0),
 d AS (SELECT doc_id, list(line ORDER BY i) AS lines FROM s GROUP BY doc_id),
-w AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.words >= {min_words} GROUP BY a.doc_id, a.i),
+o AS (SELECT a.doc_id, a.i, b.i AS j FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.words >= {min_words}),
+w AS (SELECT doc_id, i, min(j) AS j FROM o GROUP BY doc_id, i UNION SELECT doc_id, max(i) AS i, j FROM o GROUP BY doc_id, j),
 t AS (SELECT w.*, array_to_string(d.lines[i + 1 : j + 1], chr(10)) AS body FROM w JOIN d USING (doc_id)),
 f AS (SELECT *, min(doc_id * 33554432 + i) OVER (PARTITION BY body) AS first FROM t),
 x AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE doc_id * 33554432 + i > first),
@@ -213,7 +222,7 @@ c AS (SELECT doc_id, count(*) AS n_removed FROM x GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n_lines FROM s GROUP BY doc_id),
 al AS (SELECT l.doc_id, l.n, l.line, s.i FROM l LEFT JOIN s ON l.doc_id = s.doc_id AND l.n = s.n),
 k AS (SELECT al.doc_id, string_agg(al.line, chr(10) ORDER BY al.n) FILTER (WHERE x.i IS NULL) AS kept FROM al LEFT JOIN x ON al.doc_id = x.doc_id AND al.i = x.i GROUP BY al.doc_id)
-SELECT o.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(longest_run, 0)::BIGINT AS longest_run,
+SELECT documents.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(longest_run, 0)::BIGINT AS longest_run,
   sha256(CASE WHEN n_removed = n_lines THEN '' ELSE coalesce(kept, '') END) AS kept_sha256
-FROM documents o LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
 """
