@@ -98,6 +98,39 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert simhash_vp.deduplicate(empty(spark)).collect() == []
 
 
+def test_deduplicate_groups_are_exactly_those_of_the_jaccard_similarity(spark):
+    rng = np.random.default_rng(7)
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = []
+    for _ in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**7, int(rng.integers(30, 400)))]
+        rows.append(" ".join(words))
+        for _ in range(4):
+            # of the words so many change that the similarity lies at 0.6 to 0.95
+            share, copy = rng.uniform(0.005, 0.045), list(words)
+            for k in np.flatnonzero(rng.random(len(words)) < share):
+                copy[k] = f"x{rng.integers(10**7)}"
+            rows.append(" ".join(copy[: int(len(copy) * rng.uniform(0.85, 1.0))]))
+    rows += [f"{line} {' '.join(f'own{k}w{i}' for i in range(12))}" for k in range(60)]
+    # one repeated run of words outweighs all else in a fingerprint
+    rows += ["again " * 300 + " ".join(f"tail{k}w{i}" for i in range(20)) for k in range(3)]
+    order = rng.permutation(len(rows)).tolist()
+    rows = [rows[k] for k in order] + [None, ""]
+    sets = [set(simhash_vp.shingle_hashes(t, 5).tolist()) for t in rows]
+    links = simhash_vp.Links(len(rows))
+    close = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if 5 * same >= 4 * len(sets[i] | sets[j]):
+                links.unite(np.array([i]), np.array([j]))
+                close += 1
+    assert close > 60
+    want = {k for k in range(len(rows)) if links.parent[k] == k}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash_vp.deduplicate(docs).collect()} == want
+
+
 # ---- op8
 
 

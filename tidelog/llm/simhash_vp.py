@@ -14,8 +14,10 @@ too many rows are cut into pieces, and every two pieces meet in one task.
 Components follow from alternating large-star and small-star steps over the links.
 
 With `wide` further 192 bits of each SimHash are kept; pairs found on the first 64 bits are
-linked only if at most `wide_radius` of all 256 bits differ. This makes thresholds that are
-too loose for 64 bits safe.
+linked only if at most `wide_radius` of all 256 bits differ.
+
+deduplicate() decides by the exact Jaccard similarity of the sets of shingles: the forest's
+links are checked, and the pairs that fingerprints miss are found by the prefixes of the sets.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; rows of
 equal ids count as one document and share a component; a null id gets the component of its
@@ -29,11 +31,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.langid import mix
-from tidelog.llm.shared import small_batches, written
+from tidelog.llm.shared import hash_fraction, small_batches, written
 
 SEED = 42
 VANTAGE = 0x5BD1E9955BD1E995
@@ -45,6 +47,12 @@ FULL = 512
 MATRIX = 1 << 22
 #: Pairs whose further bits are compared at once.
 PAIRS = 1 << 18
+#: Documents sampled for common shingles; a shingle in more of them than COMMON_DOCS is common, and as many are sent to the tasks.
+SAMPLE_DOCS = 20_000
+COMMON_DOCS = 10
+MOST_COMMON = 100_000
+#: Bits of a parity.
+PARITY = 1024
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -255,12 +263,127 @@ def grouped_documents(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, *, size: int = 5, radius: int = 13, wide_radius: int | None = 48, key: str = "doc_id", text: str = "text") -> DataFrame:
+def common_shingles(docs: DataFrame, *, size: int, text: str) -> np.ndarray:
+    """Hashes that stand in many documents of a sample, sorted. They only decide the order of prefixes; any set is right."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, size)).view(np.int64))], ["h"])
+
+    small_batches(docs.sparkSession)
+    sample = docs.select(F.col(text).alias("text")).where(hash_fraction(F.col("text")) < SAMPLE_DOCS / max(1, docs.count()))
+    counted = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") > COMMON_DOCS)
+    rows = counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def shingle_prints(docs: DataFrame, common: np.ndarray, *, size: int, likeness: tuple[int, int], key: str, text: str) -> DataFrame:
+    """key, fp, rest, d (digest of the set of shingles), n (its size), its parity and its prefix: uncommon shingles first.
+
+    Two sets of at least the likeness share a shingle of their prefixes. Each shingle turns one
+    bit of the parity over, so two sets differ in at least as many shingles as their parities in bits.
+    """
+    small_batches(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+    up, down = likeness
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, rests, digests, counts, parities, prefixes = [], [], [], [], [], []
+            for t in b.column(1).to_pylist():
+                hashes = shingle_hashes(t, size)
+                own = np.unique(hashes)
+                late = np.isin(own, common, assume_unique=True)
+                fps.append(majority(hashes))
+                with np.errstate(over="ignore"):
+                    rests.append(np.array([majority(mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))) for k in (1, 2, 3)], "<u8").tobytes())
+                digests.append(set_digest(own))
+                counts.append(len(own))
+                odd = np.bincount((own >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) % 2
+                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                prefixes.append(np.concatenate([own[~late], own[late]])[: len(own) + up * len(own) // -down + 1].view(np.int64))
+            columns = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(rests, pa.binary()), pa.array(digests, pa.int64()), pa.array(counts, pa.int32()), pa.array(parities, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "rest", "d", "n", "parity", "prefix"])
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long, rest binary, d long, n int, parity array<long>, prefix array<long>").withColumnRenamed("key", key)
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, size: int, likeness: tuple[int, int], key: str, text: str) -> DataFrame:
+    """Links (a, b) between the nodes of those pairs (d, e) whose sets of shingles have the likeness, by comparing the sets."""
+    up, down = likeness
+    a, b = nodes.select("d", "n", "parity"), nodes.select(F.col("d").alias("e"), F.col("n").alias("m"), F.col("parity").alias("other"))
+    apart = F.aggregate(F.zip_with("parity", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
+    # of n + m shingles counted in both sets, those of one set alone
+    pairs = written(pairs.join(a, "d").join(b, "e").where(apart * (up + down) <= (down - up) * (F.col("n") + F.col("m"))).select("d", "e"), "pairs")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]
+            # an id may stand in rows of other texts
+            right = [k for k, (d, s) in enumerate(zip(b.column(0).to_pylist(), sets)) if d == set_digest(s)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(right, pa.int64())), pa.array([sets[k].view(np.int64) for k in right], pa.list_(pa.int64()))], ["d", "hashes"])
+
+    wanted = pairs.select(F.explode(F.array("d", "e")).alias("w")).distinct().join(nodes, F.col("w") == F.col("d")).select("d", "node")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, F.col("id") == F.col("node")).select("d", "text")
+    sets = written(texts.mapInArrow(run, "d long, hashes array<long>").dropDuplicates(["d"]).join(nodes.select("d", "node"), "d"), "sets")
+    left, right = sets.select("d", F.col("node").alias("a"), F.col("hashes").alias("s")), sets.select(F.col("d").alias("e"), F.col("node").alias("b"), F.col("hashes").alias("t"))
+    both = pairs.join(left, "d").join(right, "e")
+    same = F.size(F.array_intersect("s", "t"))
+    return written(both.where(same * (up + down) >= up * (F.size("s") + F.size("t"))).select("a", "b"), "alike")
+
+
+def alike_groups(docs: DataFrame, *, size: int, radius: int, wide_radius: int, likeness: tuple[int, int], key: str, text: str) -> DataFrame:
+    """key and component_id of every row: components of exactly the pairs whose sets of shingles have the likeness (a Jaccard similarity, as a fraction).
+
+    The forest's links are checked first and join most copies. All pairs between the components
+    that share a shingle of their prefixes follow, so that what the fingerprints miss is found.
+    """
+    common = common_shingles(docs, size=size, text=text)
+    prints = written(shingle_prints(docs, common, size=size, likeness=likeness, key=key, text=text), "fingerprints")
+    named = prints.where(F.col(key).isNotNull())
+    nodes = named.groupBy("d").agg(F.min(F.struct(F.col(key).cast("long").alias("node"), "fp", "rest", "n", "parity")).alias("x"))
+    nodes = written(nodes.select("d", "x.*"), "nodes")
+    options = {"size": size, "likeness": likeness, "key": key, "text": text}
+
+    near = near_links(nodes, radius=radius, wide_radius=wide_radius)
+    near = near.join(nodes.select("d", F.col("node").alias("a")), "a").join(nodes.select(F.col("d").alias("e"), F.col("node").alias("b")), "b")
+    links = alike(docs, nodes, near.select("d", "e").distinct(), **options)
+    joined = nodes.select("d", "node", "n").join(components(links), "node", "left").select("d", "n", F.coalesce("component", "node").alias("component"))
+
+    # shingles that one set alone has leave here
+    dealt = named.select("d", "n", F.posexplode("prefix").alias("place", "h")).select("h", "d", (F.col("n") - F.col("place")).alias("left"))
+    all_of = Window.partitionBy("h")
+    dealt = dealt.withColumn("first", F.min("d").over(all_of)).withColumn("last", F.max("d").over(all_of)).where("first < last").select("h", "d", "left").distinct()
+    shared = written(dealt.join(joined, "d").select("h", "d", "component", "n", "left"), "shared")
+    other = shared.select(F.col("h").alias("g"), F.col("d").alias("e"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("left").alias("rest"))
+    # at the first shingle that two sets share, what is left of both must be enough
+    up, down = likeness
+    enough = F.least("left", "rest") * (up + down) >= up * (F.col("n") + F.col("m"))
+    pairs = shared.join(other, (F.col("h") == F.col("g")) & (F.col("d") < F.col("e")) & (F.col("component") != F.col("c")) & enough).select("d", "e").distinct()
+    links = links.unionByName(alike(docs, nodes, pairs, **options))
+
+    # rows of equal ids count as one document: each of their sets is linked to the least id
+    repeated = named.groupBy(F.col(key).cast("long").alias("id")).agg(F.count_distinct("d").alias("k")).where("k > 1").select("id")
+    if repeated.limit(1).count():
+        links = links.unionByName(prints.join(repeated, F.col(key) == F.col("id")).select("id", "d").join(nodes, "d").select(F.col("id").alias("a"), F.col("node").alias("b")))
+    grouped = nodes.select("d", "node").join(components(links), "node", "left").select("d", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(grouped, "d", "left").select(key, "component_id")
+
+
+def deduplicate(docs: DataFrame, *, size: int = 5, radius: int = 13, wide_radius: int = 48, likeness: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group: that of the smallest id. Rows with a null id stay.
 
-    At 13 of 64 bits and 48 of 256 the fingerprints agree in at least 0.8 of their bits.
+    A group is a component of the pairs with a Jaccard similarity of at least `likeness`; the
+    radii only say which pairs are tried first.
     """
-    groups = near_groups(docs, size=size, radius=radius, wide_radius=wide_radius, key=key, text=text)
+    groups = alike_groups(docs, size=size, radius=radius, wide_radius=wide_radius, likeness=likeness, key=key, text=text)
     first = groups.where(F.col(key).cast("long") == F.col("component_id")).select(F.col("component_id").alias("__first")).distinct()
     kept = docs.join(first, F.col(key).cast("long") == F.col("__first"), "left_semi")
     ids = kept.groupBy(F.col(key)).count().where("count > 1").limit(1).count()
