@@ -156,6 +156,22 @@ def test_topology_and_its_cap(spark, e):
     assert got == [("a", "b", 2, 2, 2, 3.0), ("b", "c", 1, 1, 2, 3.0), ("c", "c", 1, 1, 2, 5.0)]
 
 
+def test_registered_patterns_read_every_line_of_a_text(spark, sf, tmp_path):
+    import os
+    from collections import Counter
+
+    from tidelog.queries import QUERIES
+
+    for name in os.listdir(sf):
+        if name != "documents.parquet":
+            os.symlink(f"{sf}/{name}", tmp_path / name)
+    texts = [f"start of a rather long first line of the text here\nuser {k} logged in\n\n{'late ' * 20}line {k % 3}" for k in range(9)] + [None, ""]
+    table(spark, "doc_id long, text string, lang string, source string, n_chars long", *[(k, t, "en", "a", 1) for k, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    masked = [" ".join("<*>" if w.isdigit() else w for w in line.split()) for t in texts for line in (t or "").split("\n") if line.strip()]
+    got = {r["pattern"]: r["count"] for r in QUERIES["patterns"](spark, str(tmp_path)).collect()}
+    assert got == Counter(masked) and len(got) == 3
+
+
 def test_patterns_mask_and_merge(spark, e):
     lines = [f"user {i} logged in from 10.0.0.{i}" for i in range(20)] + [f"user {n} logged out now" for n in ("bob", "amy")] + ["disk full", "", None]
     df = table(spark, "m string", *[(x,) for x in lines])

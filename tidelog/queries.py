@@ -409,7 +409,7 @@ query(
     'from events | streamstats count as n by user_id | let t = f"u{user_id}", s = tostring(n), p = if(n = 1, "", tostring(n - 1)), service = event_type, operation = event_type, duration_ms = value | trace trace_id=t span_id=s parent_id=p | fields trace_id, span_id, service, duration_ms, _span_depth',
     "SELECT 'u' || user_id AS trace_id, (row_number() OVER w)::VARCHAR AS span_id, event_type AS service, round(value, 4) AS duration_ms, (row_number() OVER w - 1)::INTEGER AS _span_depth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
 )
-query("patterns", "from documents | let line = substr(text, 1, 40) | patterns field=line max_templates=20", None)
+query("patterns", 'from documents | let line = split(text, "\n") | explode line | patterns field=line max_templates=20', None)
 query("patterns_exact", 'from events | let line = f"user {user_id} did {event_type} in {event_id}ms" | patterns field=line similarity=0.9', "SELECT 'user <*> did ' || event_type || ' in <*>' AS pattern, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM events), 4)::DOUBLE AS percent, min('user ' || user_id || ' did ' || event_type || ' in ' || event_id || 'ms') AS example FROM events GROUP BY event_type")
 query(
     "glimpse",
