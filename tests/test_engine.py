@@ -97,6 +97,16 @@ def test_join_keeps_left_values_and_matches_as_text(spark, e):
     assert sorted(map(tuple, e.query("| lookup r on k | fields k, w").collect()), key=str) == [(1, 1), (1, 2), (2, None), (None, None)]
 
 
+def test_explode_names_no_part_of_too_many_keys(spark, e):
+    for n in (500, 501):
+        df = table(spark, "a string", (json.dumps([{f"k{i:03}": i for i in range(n)}]),))
+        if n > 500:
+            with pytest.raises(QueryError):
+                run(e, df, "| explode a | fields a.k000")
+        else:
+            assert run(e, df, "| explode a | fields a.k499") == [("499",)]
+
+
 def test_explode_keeps_rows_without_arrays(spark, e):
     df = table(spark, "id int, a string, b string", (1, "[1,2]", '["x","y"]'), (2, "[]", "[]"), (3, None, "[1]"), (4, "no", "no"), (5, '[{"n":1,"m":"z"},{"n":2}]', "[1]"))
     assert sorted(run(e, df, "| explode a | fields id, a"), key=str) == sorted([(1, "1"), (1, "2"), (2, "[]"), (3, None), (4, "no"), (5, '{"n":1,"m":"z"}'), (5, '{"n":2}')], key=str)

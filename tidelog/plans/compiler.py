@@ -401,7 +401,9 @@ class Compiler:
         keys: list[str] = []
         if len(names) == 1 and not f.df.isStreaming and values[0][1].kind == "str":
             items = f.df.select(F.explode(explode.items_of(values[0][1])).alias("x")).where("x like '{%'")
-            found = items.select(F.explode(F.json_object_keys("x")).alias("k")).distinct().orderBy("k").limit(extraction.MOST_KEYS).collect()
+            found = items.select(F.explode(F.json_object_keys("x")).alias("k")).distinct().orderBy("k").limit(extraction.MOST_KEYS + 1).collect()
+            if len(found) > extraction.MOST_KEYS:
+                raise QueryError(f"the objects of {names[0]} have over {extraction.MOST_KEYS} different keys")
             keys = [r[0] for r in found]
         return f.having(explode.explode(f.df, values, targets, keys))
 
