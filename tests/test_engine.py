@@ -331,3 +331,14 @@ def test_plans_push_filters_and_columns(spark, sf):
     plan = engine(spark, sf).explain('from lineitem | where l_returnflag="R" and l_quantity > 10 | stats sum(l_extendedprice) by l_linestatus')
     assert "EqualTo(l_returnflag,R)" in plan and "GreaterThan(l_quantity,10" in plan
     assert "l_comment" not in plan and "l_partkey" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_alerts_write_all_rows_to_their_table(spark, e, tmp_path):
+    from tidelog.streaming.live import Alert, log_channel
+
+    seen = []
+    table(spark, "v int", *[(k,) for k in range(250)]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    alert = Alert("all", "| where v >= 10", [log_channel(seen)], limit=5, table=str(tmp_path / "out/rows"))
+    alert.follow(e, spark.readStream.schema("v int").parquet(str(tmp_path / "in")), str(tmp_path / "out/state"), once=True).awaitTermination()
+    assert sorted(r.v for r in spark.read.schema("v int").parquet(str(tmp_path / "out/rows/v*")).collect()) == list(range(10, 250))
+    assert len(seen) == 1 and len(seen[0][1]) == 5 and alert.total == 240

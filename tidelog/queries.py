@@ -501,12 +501,12 @@ def _stream_projection(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame
 
 @built("stream_alert", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 1")
 def _stream_alert(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.streaming.live import Alert, log_channel
+    from tidelog.streaming.live import Alert
 
-    seen: list = []
-    alert = Alert("errors", '| where event_type = "error" | stats count as n by user_id | where n > 1', [log_channel(seen)], limit=100_000)
-    alert.follow(e, streamed(spark, sf_dir), f"{e.catalog.warehouse}/alert-{os.urandom(4).hex()}", time="ts", once=True).awaitTermination()
-    return spark.createDataFrame([(r["user_id"], r["n"]) for _, rows in seen for r in rows], "user_id long, n long")
+    root = f"{e.catalog.warehouse}/alert-{os.urandom(4).hex()}"
+    alert = Alert("errors", '| where event_type = "error" | stats count as n by user_id | where n > 1', [], table=f"{root}/rows")
+    alert.follow(e, streamed(spark, sf_dir), f"{root}/state", time="ts", once=True).awaitTermination()
+    return spark.read.schema("user_id long, n long").parquet(f"{root}/rows/v*")
 
 
 @built("shortcut_diff", "WITH a AS (SELECT event_type, count(*) AS count FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-21' AND TIMESTAMP '2024-01-31' GROUP BY 1), b AS (SELECT event_type, count(*) AS count FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-11' AND TIMESTAMP '2024-01-21' GROUP BY 1) SELECT event_type, a.count, b.count::DOUBLE AS previous_count, round(100.0 * (a.count - b.count)::DOUBLE / b.count, 4) AS change_count FROM a LEFT JOIN b USING (event_type)")

@@ -146,28 +146,40 @@ def windowed_counts(stream: DataFrame, span: str, *, late: str = "10 minutes", b
 
 @dataclass
 class Alert:
-    """A query that triggers its channels when it has rows."""
+    """A query that triggers its channels when it has rows.
+
+    Channels are told the first `limit` rows; `total` is how many the last trigger had. With
+    `table` all rows of each batch of a stream are written there first.
+    """
 
     name: str
     query: str
     channels: Sequence[Callable[[str, list[dict]], None]]
     limit: int = 100
+    table: str | None = None
+    total: int = field(default=0, init=False)
 
-    def check(self, engine: Engine) -> bool:
-        rows = [r.asDict() for r in engine.query(self.query).limit(self.limit).collect()]
+    def tell(self, found: DataFrame) -> bool:
+        rows = [r.asDict() for r in found.limit(self.limit).collect()]
         if rows:
+            self.total = len(rows) if len(rows) < self.limit else found.count()
             for notify in self.channels:
                 notify(self.name, rows)
         return bool(rows)
 
+    def check(self, engine: Engine) -> bool:
+        return self.tell(engine.query(self.query))
+
     def follow(self, engine: Engine, stream: DataFrame, checkpoint: str, *, time: str | None = None, once: bool = False) -> StreamingQuery:
         """Check each batch of a stream."""
 
         def run(batch: DataFrame, batch_id: int) -> None:
-            found = [r.asDict() for r in engine.run_on(batch, self.query, time=time).limit(self.limit).collect()]
-            if found:
-                for notify in self.channels:
-                    notify(self.name, found)
+            found = engine.run_on(batch, self.query, time=time)
+            if self.table:
+                # a batch that runs again replaces its rows
+                found.write.mode("overwrite").parquet(f"{self.table}/v{batch_id}")
+                found = engine.spark.read.schema(found.schema).parquet(f"{self.table}/v{batch_id}")
+            self.tell(found)
 
         writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer).start()
