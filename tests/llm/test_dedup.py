@@ -72,7 +72,7 @@ def test_links_are_exact(spark, monkeypatch):
         monkeypatch.setattr(simhash_vp, "SHARD_ROWS", shard_rows)
         monkeypatch.setattr(simhash_vp, "FULL", full)
         fp = clustered(1500, radius)
-        nodes = spark.createDataFrame([(i, int(x), bytearray()) for i, x in enumerate(fp.view(np.int64))], "node long, fp long, rest binary")
+        nodes = spark.createDataFrame([(i, bytearray(int(x).to_bytes(8, "big"))) for i, x in enumerate(fp)], "node long, words binary")
         labels = {r.node: r.component for r in simhash_vp.components(simhash_vp.near_links(nodes, radius=radius)).collect()}
         links = simhash_vp.Links(len(fp))
         i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius)
@@ -131,6 +131,57 @@ def test_deduplicate_groups_are_exactly_those_of_the_jaccard_similarity(spark):
     assert {r.doc_id for r in simhash_vp.deduplicate(docs).collect()} == want
 
 
+def test_deduplicate_finds_near_copies_of_every_band(spark):
+    rng = np.random.default_rng(23)
+    texts, bands = [], []
+    while len(bands) < 900:
+        words = [f"w{x}" for x in rng.integers(0, 10**8, int(rng.integers(60, 300)))]
+        copy = list(words)
+        for k in np.flatnonzero(rng.random(len(words)) < rng.uniform(0.002, 0.035)):
+            copy[k] = f"x{rng.integers(10**8)}"
+        a, b = (set(simhash_vp.shingle_hashes(" ".join(x), 5).tolist()) for x in (words, copy))
+        if 0.7 <= len(a & b) / len(a | b) < 1:
+            bands.append(len(a & b) / len(a | b))
+            texts += [" ".join(words), " ".join(copy)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_vp.deduplicate(docs).select("doc_id").collect()}
+    assert {2 * k for k in range(len(bands))} <= kept
+    assert all((2 * k + 1 in kept) for k, x in enumerate(bands) if x < 0.8)
+    for low, high, least in ((0.8, 0.85, 0.97), (0.85, 0.9, 0.99), (0.9, 1.0, 1.0)):
+        own = [2 * k + 1 not in kept for k, x in enumerate(bands) if low <= x < high]
+        assert len(own) > 100 and sum(own) >= least * len(own), (low, sum(own), len(own))
+
+
+def test_crowds_of_copies_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(simhash_vp, "FEW", 2)
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in rng.integers(0, 10**8, 120)]
+    texts = []
+    for _ in range(120):
+        copy = list(words)
+        for k in rng.integers(0, len(words), int(rng.integers(1, 5))):
+            copy[k] = f"x{rng.integers(10**8)}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"y{x}" for x in rng.integers(0, 10**8, 80)) for _ in range(30)]
+    sets = [set(simhash_vp.shingle_hashes(t, 5).tolist()) for t in texts]
+    links = simhash_vp.Links(len(texts))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                links.unite(np.array([i]), np.array([j]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_vp.deduplicate(docs).select("doc_id").collect()}
+    assert kept == {k for k in range(len(texts)) if links.parent[k] == k}
+
+
+def test_deduplicate_has_a_rule_for_rows_of_equal_ids(spark):
+    base = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(4)]
+    rows = [(1, base[1], "b"), (1, base[0], "z"), (1, base[0], "a"), (2, base[2], "c"), (3, base[1], "d"), (4, None, "e"), (4, base[3], "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, words string")
+    got = sorted((tuple(r) for r in simhash_vp.deduplicate(docs).collect()), key=str)
+    assert got == sorted([(1, base[0], "a"), (2, base[2], "c"), (4, None, "e")], key=str)
+
+
 # ---- op8
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe_tree import byte_of_char
-from tidelog.llm.shared import shared_dir, small_batches
+from tidelog.llm.shared import removed, shared_dir, small_batches
 
 LIMIT = 18
 CHECKPOINT = 256
@@ -291,11 +291,6 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, limit:
     removed(spark, held)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def read(spark: SparkSession, path: str, *, limit: int = LIMIT, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files, and the ids (little-endian unsigned 32-bit)."""
     small_batches(spark, 64)

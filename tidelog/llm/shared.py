@@ -48,7 +48,19 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     for key, value in options.items():
         writer = writer.option(key, value)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that written() made, once nothing that is still to run reads it."""
+    removed(df.sparkSession, df._written_at)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:
