@@ -1,7 +1,7 @@
 """Semantics on small frames: nulls, loose types, extraction, sessions, traces, views, streams, ingest, output."""
 
 import json
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,6 +303,78 @@ def test_streams(spark, e, tmp_path):
     assert alert.check(e) and not Alert("none", "| where v > 99", [log_channel(seen)]).check(e)
 
 
+def moment(micros):
+    return datetime(2026, 1, 1) + timedelta(microseconds=micros)
+
+
+def test_views_lose_no_rows(spark, e, tmp_path):
+    from tidelog.lang.tree import Agg
+    from tidelog.streaming.live import ContinuousView
+
+    schema = "k string"
+    folder = str(tmp_path / "in")
+    add = lambda n: table(spark, schema, *[("a",)] * n).coalesce(1).write.mode("append").parquet(folder)
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    view = ContinuousView(e, "v", str(tmp_path / "view"), [Agg("count", (), "n")], ["k"])
+    add(5)
+    view.start(read(), str(tmp_path / "one"), once=True).awaitTermination()
+    view.pause()
+    add(7)
+    with pytest.raises(QueryError):
+        view.start(read(), str(tmp_path / "one"), once=True)
+    view.resume(read(), str(tmp_path / "one"), once=True).awaitTermination()
+    add(1)
+    view.start(read(), str(tmp_path / "one"), once=True).awaitTermination()
+    assert view.read().collect() == [("a", 13)]
+    build = view.current()
+    assert len(view.versions(build)) <= 3
+    view.rebuild(read(), str(tmp_path / "two"))
+    assert view.read().collect() == [("a", 13)] and view.current() != build and not view.versions(build)
+    view.start(read(), str(tmp_path / "three"), once=True).awaitTermination()
+    assert view.read().collect() == [("a", 13)]
+
+
+def test_views_answer_only_for_the_source_they_were_made_of(spark, e):
+    from tidelog.engine import Engine
+
+    rows = lambda n: table(spark, "_time timestamp, k string", *[(moment(m * 60_000_000), "ab"[m % 2]) for m in range(n)])
+    e.register("t", rows(10))
+    e.query('from t | stats count as n by k | materialize "m"')
+    text = "from t | stats count as n by k"
+    assert "m" in str(e.answered_by_view(e.program(text).main).source)
+    e.register("t", rows(100))
+    assert e.answered_by_view(e.program(text).main) is None
+    assert sorted(map(tuple, e.query(text).collect())) == [("a", 50), ("b", 50)]
+    day = moment(0).replace(tzinfo=UTC) + timedelta(minutes=30)
+    one = Engine(spark, now=day)
+    one.register("t", rows(10))
+    one.query('from t[-1h] | stats count as n by k | materialize "hour"')
+    assert one.answered_by_view(one.program("from t[-1h] | stats count as n by k").main) is not None
+    one._now = day + timedelta(days=1)
+    assert one.answered_by_view(one.program("from t[-1h] | stats count as n by k").main) is None
+    folder = one.catalog.get("hour").path
+    one.query('from t | dropview "hour"')
+    assert not __import__("os").path.exists(folder.removeprefix("file:"))
+
+
+def test_bulk_actions_and_json_names(spark, e):
+    from tidelog.sources import readers
+
+    lines = ['{"delete":{"_index":"x","_id":"1"}}', '{"index":{"_index":"logs","_id":"2"}}', '{"message":"m"}', "", '{"delete":{"_id":"3"}}', '{"delete":{"_id":"4"}}', '{"create":{"_index":"logs"}}', '{"delete":"me"}', '{"index":{"_index":"logs"}}', '{"message":"last"}', '{"update":{"_id":"5"}}', '{"doc":{}}']
+    got = [r["_raw"] for r in readers.bulk_events(table(spark, "n long, value string", *enumerate(lines)), "n").collect()]
+    assert sorted(got) == sorted(['{"message":"m"}', '{"delete":"me"}', '{"message":"last"}'])
+    rows = ['{"a":1,"a":2}', '{"a.b":1,"a":{"b":2}}', '{"p":{"q":{"r":{"s":{"t":{"u":"deep {not a brace"}}}}}}}', "no json", "{}"]
+    df = table(spark, "n long, line string", *enumerate(rows))
+    got = {r["n"]: r.asDict() for r in e.run_on(df, "| parse json(line)").collect()}
+    assert got[0]["a"] == 2 and got[1]["a.b"] == 2 and got[2]["p.q.r.s.t.u"] == "deep {not a brace" and got[3]["a"] is None
+
+
+def test_compare_refuses_rows_without_a_key(spark, e):
+    e.register("t", table(spark, "_time timestamp, v double", (moment(0), 1.0), (moment(1), 2.0)))
+    with pytest.raises(QueryError):
+        e.query("from t | fields v | compare previous 1h")
+
+
 def test_shortcuts(spark, e):
     from tidelog import shortcuts
 

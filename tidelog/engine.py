@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelog.lang.fragments import expand_program, with_params
 from tidelog.lang.parser import parse
+from tidelog.lang.timeexpr import point
 from tidelog.lang.tokens import QueryError
 from tidelog.lang.tree import Command, Program, Query, SortKey, Source
 from tidelog.plans.compiler import Compiler
@@ -38,7 +39,7 @@ class Engine:
         self.spark, self._now, self.approximate, self.default_source = spark, now, approximate, default_source
         self.sources: dict[str, Registered] = {}
         self.fragments: dict[str, str] = {}
-        self.catalog = ViewCatalog(spark, warehouse)
+        self.catalog = ViewCatalog(spark, warehouse, lambda: self.now)
 
     @property
     def now(self) -> datetime:
@@ -119,7 +120,7 @@ class Engine:
         return self.catalog.read(name)
 
     def materialize(self, name: str, frame: Frame, commands: list[Command], source: Source | None, options: dict) -> DataFrame:
-        return self.catalog.create(name, frame.df, commands, source, options)
+        return self.catalog.create(name, frame.df, commands, source, options, self.source_state(source or Source([self.default_source])))
 
     def views(self, name: str | None, options: dict) -> DataFrame:
         if name is not None and "retention" in options:
@@ -143,7 +144,31 @@ class Engine:
         print("\n".join(f"{f.name}: {f.dataType.simpleString()}" for f in df.schema.fields), file=sys.stderr)
 
     def answered_by_view(self, query: Query) -> Query | None:
-        return answered_by(self.catalog, query, self.default_source)
+        return answered_by(self.catalog, query, self.default_source, self.source_state)
+
+    def source_state(self, source: Source) -> str | None:
+        """What a source holds now: plans, files with their sizes and times, and the points its bounds stand for. None where that is not known."""
+        parts: list[str] = [str(point(b, self.now)) if b is not None else "" for b in (source.low, source.high)]
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for name in source.names:
+            globbed = any(c in name for c in "*?")
+            found = [k for k in sorted(self.sources) if k == name or globbed and fnmatchcase(k, name)]
+            if not found:
+                return None
+            for k in found:
+                df = self.sources[k].df
+                if df.isStreaming:
+                    return None
+                parts.append(f"{k}:{df.semanticHash()}")
+                for f in sorted(df.inputFiles()):
+                    path = hadoop(self.spark._jvm.java.net.URI(f))
+                    at = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path)
+                    parts.append(f"{f}:{at.getLen()}:{at.getModificationTime()}")
+        return "\n".join(parts)
+
+    def expire(self, name: str) -> int:
+        """Delete the rows of a view beyond its retention; how many there were."""
+        return self.catalog.expire(name)
 
 
 def ordered_columns(df: DataFrame) -> DataFrame:

@@ -244,27 +244,41 @@ def w3c(line: Column, options: dict) -> Fields:
     return {n: _value(F.get(parts, i), False) for i, n in enumerate(names)}
 
 
-def flattened(line: Column) -> Column:
-    """Dotted leaf names of a JSON object to texts; arrays stay JSON text. Three levels are flattened, deeper ones stay JSON."""
+def flattened(line: Column, levels: int = 3) -> Column:
+    """Dotted leaf names of a JSON object to texts; arrays stay JSON text, and so do objects below so many levels.
 
-    def level(source: Column, depth: int) -> Column:
-        top = F.from_json(source, "map<string,string>")
-        entries = F.map_entries(F.map_filter(top, lambda k, v: v.isNotNull()))
-        if depth == 0:
-            return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    Of equal names, repeated or made by dots, the last one stays.
+    """
 
-        def deeper(e: Column) -> Column:
-            below = F.transform(level(e["value"], depth - 1), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
-            own = F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")))
-            return F.when(e["value"].startswith("{") & below.isNotNull() & (F.size(below) > 0), below).otherwise(own)
+    def entries(source: Column) -> Column:
+        found = F.map_entries(F.from_json(source, "map<string,string>"))
+        return F.transform(F.filter(found, lambda e: e["value"].isNotNull()), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
 
-        return F.flatten(F.transform(entries, deeper))
+    def opened(own: Column) -> Column:
+        def one(e: Column) -> Column:
+            def below(inner: Column) -> Column:
+                return F.when(F.size(inner) > 0, F.transform(inner, lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))).otherwise(F.array(e))
 
-    return F.map_from_entries(level(F.when(F.trim(line).startswith("{"), line), 2))
+            return F.element_at(F.transform(F.array(F.when(e["value"].startswith("{"), entries(e["value"]))), below), 1)
+
+        return F.flatten(F.transform(own, one))
+
+    found = entries(F.when(F.trim(line).startswith("{"), line))
+    for _ in range(levels - 1):
+        found = opened(found)
+    return unique_map(found)
+
+
+def json_levels(df: DataFrame, line: Column) -> int:
+    """How many levels the objects of the lines have, as a bound: the most braces that are open at once."""
+    braces = F.regexp_replace(F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"', ""), "[^{}]", "")
+    steps = F.transform(F.split(braces, ""), lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
+    most = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, x: F.struct((s["now"] + x).alias("now"), F.greatest(s["most"], s["now"] + x).alias("most")))["most"]
+    return df.agg(F.max(most)).first()[0] or 1
 
 
 MAPPED: dict[str, Callable[[Column, dict], Fields]] = {
-    "json": lambda line, o: {"*": flattened(line)},
+    "json": lambda line, o: {"*": flattened(line, o.get("levels", 3))},
     "logfmt": lambda line, o: {"*": pair_map(line, " ", "=", '"')},
     "kv": lambda line, o: {"*": pair_map(line, o.get("delim", " "), o.get("assign", "="), o.get("quote", '"'))},
     "cef": cef,
@@ -310,6 +324,10 @@ def unpack(df: DataFrame, format: str, source: Column, *, only: Sequence[str] =
         build = FIXED.get(format) or MAPPED.get(format)
         if build is None:
             raise QueryError(f"unknown format {format}")
+        if format == "json":
+            # the fields that are named tell how deep they lie; else the lines do
+            levels = 1 + max(n.count(".") for n in only) if only else 3 if df.isStreaming else json_levels(df, source)
+            options = options | {"levels": levels}
         fields = build(source, options)
     mapped = fields.pop("*", None)
     if mapped is not None:

@@ -428,8 +428,10 @@ class Compiler:
             for i, k in enumerate(keys[1:], 1):
                 same = same & quoted(k).eqNullSafe(F.col(f"__k{i}"))
             df = f.df.join(renamed, same, "left").drop(*[f"__k{i}" for i in range(len(keys))])
-        else:
+        elif before and before[-1].kind == "stats" and not before[-1]["by"]:
             df = f.df.join(renamed, F.lit(True), "left")  # one row of totals on each side
+        else:
+            raise QueryError("compare needs a field that is not a number to match the periods by, or totals")
         change = {f"change_{n}": F.try_divide(F.lit(100.0) * (quoted(n).cast("double") - quoted(f"previous_{n}")), F.abs(quoted(f"previous_{n}"))) for n in numbers if n in past.columns}
         return f.having(df.withColumns(change) if change else df)
 

@@ -36,6 +36,8 @@ class Expressions:
                 return Value(F.lit(float(seconds)), "span", seconds)
             case Instant(at):
                 return Value(F.lit(point(at, self.now)), "time")
+            case Call("now", ()):
+                return Value(F.lit(self.now), "time")
             case Unary("not", of):
                 return Value(~truth(self.value(of)), "bool")
             case Unary("-", of):

@@ -8,7 +8,7 @@ import json
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fields that may hold an event's time, in the order they are tried: fixed by the data model.
@@ -157,10 +157,19 @@ def json_events(spark: SparkSession, events: Sequence[dict]) -> DataFrame:
     return hec_events(spark.createDataFrame(rows, "value string"))
 
 
-def bulk_events(df: DataFrame, order: str, column: str = "value") -> DataFrame:
-    """Pairs of an action line and a document line; `order` numbers the lines from 0. Deletes have no document."""
-    pair = F.floor(F.col(order) / 2)
-    lines = df.groupBy(pair.alias("n")).agg(F.min_by(column, order).alias("action"), F.max_by(column, order).alias("doc"))
+def bulk_events(df: DataFrame, order: str, column: str = "value", request: str | None = None) -> DataFrame:
+    """Action lines, each followed by its document but for deletes, which have none; `order` is the order of a request's lines.
+
+    After a delete, or what looks like one in a document's place, an action follows; from there
+    actions and documents take turns. A request is one task: name its column if there are several.
+    """
+    whole = [F.col(request)] if request else [F.lit(0)]
+    rows = df.where(F.trim(column) != "").select(F.col(column).alias("line"), F.col(order).alias("at"), F.struct(*whole).alias("request"))
+    rows = rows.withColumn("deletes", F.col("line").rlike(r'^\s*\{\s*"delete"\s*:').cast("int"))
+    inside = Window.partitionBy("request").orderBy("at")
+    rows = rows.withColumns({"run": F.coalesce(F.sum("deletes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "doc": F.lead("line").over(inside)})
+    place = F.row_number().over(Window.partitionBy("request", "run").orderBy("at"))
+    lines = rows.withColumn("place", place).where("place % 2 = 1 and deletes = 0 and doc is not null").select(F.col("line").alias("action"), "doc")
     action = F.from_json("action", "map<string,struct<_index:string,_id:string>>")
     kind = F.get(F.map_keys(action), F.lit(0))
     rows = lines.select(kind.alias("op"), F.get(F.map_values(action), F.lit(0)).alias("a"), F.col("doc").alias("_raw")).where(F.col("op").isin("index", "create"))
@@ -179,7 +188,9 @@ SEVERITY = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 
 def attributes(a: Column) -> Column:
     value = lambda x: F.coalesce(x["value"]["stringValue"], x["value"]["intValue"], x["value"]["doubleValue"].cast("string"), x["value"]["boolValue"].cast("string"))
-    return F.map_from_entries(F.transform(F.coalesce(a, F.array().cast("array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>>")), lambda x: F.struct(x["key"].alias("key"), value(x).alias("value"))))
+    from tidelog.operators.extraction import unique_map
+
+    return unique_map(F.transform(F.coalesce(a, F.array().cast("array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>>")), lambda x: F.struct(x["key"].alias("key"), value(x).alias("value"))))
 
 
 def otlp_logs(df: DataFrame, column: str = "value") -> DataFrame:

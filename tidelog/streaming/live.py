@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ from tidelog.lang.tokens import QueryError
 from tidelog.lang.tree import Agg, Field, Query
 from tidelog.plans.compiler import Compiler
 from tidelog.plans.scope import quoted
+from tidelog.plans.views import remove
 
 #: Commands that work row by row, and so on a stream.
 TAIL_COMMANDS = frozenset({"search", "where", "let", "fields", "rename", "rex", "fillnull", "head", "bin", "select", "json", "unpack", "pack", "chain", "errors_only"})
@@ -54,7 +56,11 @@ class ContinuousView:
     """Counts, sums, minima, maxima and averages of a stream by keys and time buckets, kept up to date.
 
     Each batch is aggregated and merged with the rows of its keys; a version of the table is
-    written for each batch, so a repeated batch changes nothing.
+    written for each batch, so a repeated batch changes nothing. The one before it stays for
+    readers, older ones are removed. Each checkpoint has versions of its own under the path, and
+    a marker says which of them is read: another checkpoint builds the view anew beside it.
+
+    pause() stops the stream, so that its checkpoint keeps the place; resume() goes on from there.
     """
 
     engine: Engine
@@ -65,6 +71,7 @@ class ContinuousView:
     span: float | None = None
     filter: str | None = None
     paused: bool = field(default=False)
+    running: StreamingQuery | None = field(default=None, init=False)
 
     def __post_init__(self) -> None:
         bad = [a.func for a in self.aggs if a.func not in (*MERGED, "avg") or a.condition or any(not isinstance(x, Field) for x in a.args)]
@@ -90,27 +97,46 @@ class ContinuousView:
     def keys(self) -> list[str]:
         return (["_time"] if self.span else []) + list(self.by)
 
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        if self.paused:
-            return
+    def merge(self, batch: DataFrame, batch_id: int, build: str) -> None:
         fresh = self.partial(batch)
-        before = self.version(batch_id - 1)
-        both = fresh if before is None else before.unionByName(fresh)
+        done = self.versions(build)
+        earlier = [v for v in done if v < batch_id]
+        both = fresh if not earlier else self.engine.spark.read.parquet(f"{self.path}/{build}/v{max(earlier)}").unionByName(fresh)
         f = {"sum": F.sum, "min": F.min, "max": F.max}
         merged = both.groupBy(*[quoted(k) for k in self.keys()]).agg(*[f[MERGED[a.func]](quoted(a.name)).alias(a.name) for a in self.states()])
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
+        merged.write.mode("overwrite").parquet(f"{self.path}/{build}/v{batch_id}")
+        for v in sorted(earlier)[:-1]:
+            remove(self.engine.spark, f"{self.path}/{build}/v{v}")
 
-    def version(self, at: int | None = None) -> DataFrame | None:
-        """The newest version at or before a batch."""
+    def listed(self, path: str) -> list[str]:
         spark = self.engine.spark
-        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [int(n[1:]) for n in names if n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        done = [v for v in done if at is None or v <= at]
-        return spark.read.parquet(f"{self.path}/v{max(done)}") if done else None
+        return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+    def versions(self, build: str) -> list[int]:
+        """The finished versions of a build."""
+        names = [n for n in self.listed(f"{self.path}/{build}") if n[:1] == "v" and n[1:].isdigit()]
+        return [int(n[1:]) for n in names if "_SUCCESS" in self.listed(f"{self.path}/{build}/{n}")]
+
+    def current(self) -> str | None:
+        """The build that is read: that of the latest marker."""
+        marks = [n.split("-") for n in self.listed(self.path) if n.startswith("current-")]
+        return max((int(n), build) for _, n, build in marks)[1] if marks else None
+
+    def switch(self, build: str) -> None:
+        """Read this build from now on; an empty folder is the marker."""
+        if self.current() != build:
+            marks = [int(n.split("-")[1]) for n in self.listed(self.path) if n.startswith("current-")]
+            spark = self.engine.spark
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-{max(marks, default=0) + 1}-{build}")
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+
+    def version(self) -> DataFrame | None:
+        """The newest version of the build that is read."""
+        build = self.current()
+        done = self.versions(build) if build else []
+        return self.engine.spark.read.parquet(f"{self.path}/{build}/v{max(done)}") if done else None
 
     def read(self) -> DataFrame:
         """The finished aggregates."""
@@ -127,9 +153,42 @@ class ContinuousView:
         return rows.select(*out)
 
     def start(self, stream: DataFrame, checkpoint: str, *, once: bool = False) -> StreamingQuery:
-        """Follow a stream; `once` takes what there is and ends, which is also how a backfill or rebuild runs."""
-        writer = stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if once else writer).start()
+        """Follow a stream; `once` takes what there is and ends. The first batch of a new checkpoint makes its build the one that is read."""
+        return self.follow(stream, checkpoint, once, True)
+
+    def follow(self, stream: DataFrame, checkpoint: str, once: bool, at_once: bool) -> StreamingQuery:
+        if self.paused:
+            raise QueryError(f"the view {self.name} is paused: resume it")
+        build = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+        def run(batch: DataFrame, batch_id: int) -> None:
+            self.merge(batch, batch_id, build)
+            if at_once:
+                self.switch(build)
+
+        writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        self.running = (writer.trigger(availableNow=True) if once else writer).start()
+        return self.running
+
+    def pause(self) -> None:
+        """Stop after the batches that are done; rows that come meanwhile wait at the checkpoint."""
+        self.paused = True
+        if self.running is not None:
+            self.running.stop()
+            self.running = None
+
+    def resume(self, stream: DataFrame, checkpoint: str, *, once: bool = False) -> StreamingQuery:
+        """Go on from the checkpoint."""
+        self.paused = False
+        return self.start(stream, checkpoint, once=once)
+
+    def rebuild(self, stream: DataFrame, checkpoint: str) -> None:
+        """Build the view anew from all that a stream has, under a new checkpoint; readers see the build before until it is complete."""
+        before = self.current()
+        self.follow(stream, checkpoint, True, False).awaitTermination()
+        self.switch(hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16])
+        if before is not None and before != self.current():
+            remove(self.engine.spark, f"{self.path}/{before}")
 
 
 def projection_view(engine: Engine, stream: DataFrame, text: str, path: str, checkpoint: str, *, time: str | None = None, once: bool = False) -> StreamingQuery:
