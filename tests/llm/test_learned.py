@@ -62,3 +62,19 @@ def test_pieces_do_not_change_the_score(monkeypatch):
     whole = toxicity.logits(docs, net, toxicity.tables(net))
     monkeypatch.setattr(toxicity, "PIECE", 16)
     assert np.allclose(whole, toxicity.logits(docs, net, toxicity.tables(net)), atol=1e-5)
+
+
+def test_bundle_of_many_letters_is_the_same_without_a_table(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(chr(0x4E00 + x) for x in rng.integers(0, 9000, 300)) for _ in range(30)] + ["", None, "abc abc abc"]
+    monkeypatch.setattr(langid, "SPARSE", 10**9)
+    table = langid.bundle(texts, 128, 3)
+    monkeypatch.setattr(langid, "SPARSE", 0)
+    assert np.abs(table).sum() > 0 and np.allclose(table, langid.bundle(texts, 128, 3))
+
+
+def test_op1_learns_a_bounded_number_of_labels(spark):
+    words = ("der und die das", "the and for with", "les des une pour")
+    rows = [(i, " ".join([words[i % 3]] * 5), "abc"[i % 3]) for i in range(60)] + [(100 + i, "xyz", f"dirty{i}") for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=3)
+    assert model["langs"] == ["a", "b", "c"]

@@ -8,7 +8,8 @@ sequence of BPE tokens is the encoding of its text exactly when each adjacent pa
 shared tokens in a row are asked for, or the end of the text.
 
 The fast encoder holds the tokenizer's own merges as ranks. Texts with characters whose class
-may differ between Unicode versions go whole to the tokenizers library itself.
+may differ between Unicode versions go to the tokenizers library itself, part by part and
+window by window.
 
 Defined cases: a null text is an empty one and has no tokens; repeated rows, and rows of equal
 ids, are encoded one by one; an empty table gives an empty result; other columns are not read.
@@ -208,11 +209,9 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_id
         return run
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path)
         for b in batches:
             for k, row, text in zip(b.column(0), b.column(2).to_pylist(), b.column(1).to_pylist()):
-                # the library alone knows the other texts' characters: one part
-                pieces = parts_of(text, part) if codec.stable(text) else [text]
+                pieces = parts_of(text, part)
                 n = len(pieces)
                 for at in range(0, n, 8):
                     own = pieces[at : at + 8]

@@ -26,7 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.bpe_tree import byte_of_char
 from tidelog.llm.shared import removed, shared_dir, small_batches
 
 LIMIT = 18
@@ -47,26 +46,22 @@ CODED = "part int, start long, doc_ids array<{kind}>, lengths array<long>, n_ids
 
 
 class WordTokenizer:
-    """The ids of a lower-casing BPE tokenizer with word ends, word by word.
+    """The ids that the tokenizers library gives, word by word, for a lower-casing BPE tokenizer with word ends.
 
     White space is dropped before the merges, so the ids of a text are those of its words in a
-    row. Words are encoded once and remembered (up to a fixed number). Texts with characters
-    for which lower-casing, composition or classes might differ go to the library itself.
+    row. The library encodes each word once; its ids are remembered (up to a fixed number).
+    Texts with characters for which lower-casing, composition or classes might look beyond a
+    word go to the library whole.
     """
 
     _held: dict[str, WordTokenizer] = {}
     #: ASCII, and letters of Latin scripts that have one code point in either case.
     PLAIN = re.compile("[^\t\n\x0b\x0c\r -~\xa1\xab\xbb\xbf\xc0-\xd6\xd8-\xf6\xf8-\xffĀ-įı-ňŊ-ž–—‘’“”…]")
-    LETTERS = "a-z\xdf-\xf6\xf8-\xffĀ-ž"
-    #: The split of the tokenizer over those characters, lower-cased: a fixed value of the format.
-    SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
-    END = "\x01"
     REMEMBERED = 300_000
 
     def __init__(self, path: str):
         import json
 
-        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,18 +69,7 @@ class WordTokenizer:
             described = json.load(f)
         if described["model"].get("end_of_word_suffix") != "</w>" or [x["type"] for x in described["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"{path}: not a lower-casing BPE tokenizer with word ends")
-        special = {x["id"] for x in described["added_tokens"]}
-        of_char, ranks, self.size = byte_of_char(), {}, 1 + max([*special, *described["model"]["vocab"].values()])
-        self.ends = np.zeros(self.size, bool)
-        for token, at in described["model"]["vocab"].items():
-            if at not in special:
-                last = len(token) > 4 and token.endswith("</w>")
-                core = bytes(of_char[c] for c in (token[:-4] if last else token))
-                # a word end is one more byte, which no word holds
-                if not ranks.setdefault(core + (self.END.encode() if last else b""), at) == at:
-                    raise ValueError(f"{path}: {token} is twice in the vocabulary")
-                self.ends[at] = last
-        self.words = tiktoken.Encoding("words", pat_str=f"[^{self.END}]+{self.END}", mergeable_ranks=ranks, special_tokens={})
+        self.size = 1 + max([*(x["id"] for x in described["added_tokens"]), *described["model"]["vocab"].values()])
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -99,15 +83,8 @@ class WordTokenizer:
         return cls._held[path]
 
     def learn(self, words: list[str]) -> None:
-        split = [self.SPLIT.findall(w) for w in words]
-        ids = np.asarray(self.words.encode_ordinary("".join(f"{p}{self.END}" for p in chain.from_iterable(split))))
-        after = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum([len(p) for p in split]) - 1]
-        packed = ids.astype(self.dtype).tobytes()
-        step = np.dtype(self.dtype).itemsize
-        before = 0
-        for w, end in zip(words, (after * step).tolist()):
-            self.known[w] = packed[before:end]
-            before = end
+        for w, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[w] = np.asarray(found.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, packed as self.dtype."""

@@ -24,6 +24,8 @@ from tidelog.llm.shared import hash_fraction, remainder, small_batches
 
 UNDETERMINED = "und"
 SPACE_CODE = 32
+#: Cells of the table of counts for each trigram of the texts above which no such table is made.
+SPARSE = 16
 #: Letters handled in one piece of a text.
 PIECE = 1 << 20
 
@@ -102,8 +104,17 @@ def bundle(texts: list[str | None], dim: int, seed: int, limit: int = 1 << 18) -
             distinct, which = np.unique(grams, return_inverse=True)
         first = letter_vectors(alphabet, dim, seed)
         second, third = np.roll(first, 1, axis=1), np.roll(first, 2, axis=1)
-        counts = np.bincount(rows * len(distinct) + which, minlength=len(group) * len(distinct)).reshape(len(group), -1)
         sums = np.zeros((len(group), dim), np.float32)
+        if len(group) * len(distinct) > SPARSE * len(which):
+            # few trigrams come back: every occurrence is added by itself, in the documents' order
+            for at in range(0, len(which), 4096):
+                part, own = grams[at : at + 4096], rows[at : at + 4096]
+                vectors = third[part // (n * n)] * second[part // n % n] * first[part % n]
+                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                sums[own[starts]] += np.add.reduceat(vectors, starts, axis=0, dtype=np.float32)
+            np.add.at(out, owners, sums)
+            continue
+        counts = np.bincount(rows * len(distinct) + which, minlength=len(group) * len(distinct)).reshape(len(group), -1)
         for at in range(0, len(distinct), 4096):
             part = distinct[at : at + 4096]
             vectors = third[part // (n * n)] * second[part // n % n] * first[part % n]
@@ -117,16 +128,17 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(length > 0, length, 1)
 
 
-def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4000, dim: int = 1024, seed: int = 7) -> dict:
-    """Prototypes from about `per_language` labelled rows of each language, chosen by a hash of the key.
+def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4000, languages: int = 1000, dim: int = 1024, seed: int = 7) -> dict:
+    """Prototypes from about `per_language` labelled rows of each of the `languages` most frequent labels, chosen by a hash of the key.
 
-    That bound on the sample is the only one; every row counts for the sampling rates. Returns
+    These bounds on the sample are the only ones; every row counts for the sampling rates. Returns
     {"langs": sorted list, "prototypes": array, "dim", "seed"}.
     """
     spark = train.sparkSession
     small_batches(spark)
     labelled = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang)).count().collect()}
+    # at most `languages` rows
+    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang)).count().orderBy(F.desc("count"), F.col(lang)).limit(languages).collect()}
     if not counts:
         return {"langs": [], "prototypes": np.zeros((0, dim), np.float32), "dim": dim, "seed": seed}
     rates = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])

@@ -2,9 +2,11 @@
 
 Each text is measured on its own (base rules). Then every line is normalised and hashed, and
 the different texts of each host that hold it are counted: exact copies of a text count once,
-so that copies alone do not make a line frequent. Lines in more than max(min_docs, share of
-the host's texts) are removed, and a document left with less than `least_kept` of its words
-is rejected.
+so that copies alone do not make a line frequent. The limit is a share of the host's texts,
+but at least `min_docs` (in a small host a line in a few texts is no sign) and at most
+`max_docs` (in a large one a line in so many is, however small their share). Lines in more
+texts are removed, and a document left with less than `least_kept` of its words is rejected.
+Lines are hashed once, into a table that the counts and the verdicts both read.
 
 Defined cases: a null text is an empty one (no words: rejected); a null host is a host of its
 own; repeated rows get equal answers, one each; an empty table gives an empty result; other
@@ -21,6 +23,9 @@ from tidelog.llm.shared import SPACE, WORD, bind, written
 SYMBOLS = "#*$%&|<>"
 #: Frequent lines up to which they are broadcast; a row has about 40 bytes.
 BROADCAST_LINES = 200_000
+#: The limits of a line, and the share of its words that a document must keep.
+MIN_DOCS, SHARE, MAX_DOCS = 20, 0.05, 100
+LEAST_KEPT = 0.3
 
 
 def without(text: Column, characters: str) -> Column:
@@ -86,39 +91,46 @@ def failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def frequent_lines(docs: DataFrame, *, text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.1) -> DataFrame:
-    """(host, h) of the lines of a host in too many of its different texts."""
-    rows = docs.select(F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    rows = rows.select("host", "body", F.xxhash64("body").alias("d"))
+def line_table(docs: DataFrame, *, key: str, text: str, host: str) -> DataFrame:
+    """doc_id, host, d (hash of the text) and the hashed lines of every document."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return written(docs.select(F.col(key).alias("doc_id"), F.col(host).alias("host"), F.xxhash64(body).alias("d"), hashed_lines(body).alias("lines")), "lines")
+
+
+def frequent_lines(rows: DataFrame, *, min_docs: int, share: float, max_docs: int) -> DataFrame:
+    """(host, h) of the lines of a host in too many of its different texts, from line_table()."""
     texts = rows.groupBy("host").agg(F.count_distinct("d").alias("texts"))
-    lines = rows.select("host", "d", F.explode(F.array_distinct(F.transform(worded_lines(F.col("body")), line_hash))).alias("h"))
+    lines = rows.select("host", "d", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     counted = lines.groupBy("host", "h").agg(F.count_distinct("d").alias("docs"))
     counted = counted.where(F.col("docs") > min_docs)
     # a host's count meets only the lines over the fixed limit
-    limits = texts.select(F.col("host").alias("of"), F.greatest(F.lit(float(min_docs)), F.col("texts") * share).alias("most"))
+    limits = texts.select(F.col("host").alias("of"), F.greatest(F.lit(float(min_docs)), F.least(F.lit(float(max_docs)), F.col("texts") * share)).alias("most"))
     return counted.join(limits, F.col("host").eqNullSafe(F.col("of"))).where("docs > most").select("host", "h")
 
 
-def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.1, least_kept: float = 0.3, keep_rows: bool = False) -> DataFrame:
+def judge(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, max_docs: int = MAX_DOCS, least_kept: float = LEAST_KEPT, keep_rows: bool = False
+) -> DataFrame:
     """Measures and verdict of every document; with keep_rows as a struct `row` of its columns, and `removed`, hashes of lines to remove."""
-    frequent = written(frequent_lines(docs, text=text, host=host, min_docs=min_docs, share=share), "frequent")
+    table = line_table(docs, key=key, text=text, host=host)
+    frequent = written(frequent_lines(table, min_docs=min_docs, share=share, max_docs=max_docs), "frequent")
     few = frequent.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     source = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []
     rows = docs.select(*source, F.col(key).alias("doc_id"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = rows.withColumn("d", F.xxhash64("body"))
     # the lines that are hit, once for each document of the same id, host and text
-    found = rows.select("doc_id", "host", "d", F.explode(F.array_distinct(F.transform(worded_lines(F.col("body")), line_hash))).alias("h"))
+    found = table.select("doc_id", "host", "d", F.posexplode("lines").alias("at", "x")).select("doc_id", "host", "d", "at", "x.h", "x.words")
     limits = frequent.select(F.col("host").alias("of"), F.col("h").alias("line"))
     hits = found.join(F.broadcast(limits) if few else limits, (F.col("h") == F.col("line")) & F.col("host").eqNullSafe(F.col("of")))
-    hits = hits.groupBy(F.col("doc_id").alias("k"), F.col("host").alias("of"), F.col("d").alias("e")).agg(F.collect_set("h").alias("removed"))
-    measured = rows.select(*(["row"] if keep_rows else []), "doc_id", "host", "d", *base_columns(F.col("body")), hashed_lines(F.col("body")).alias("lines"))
+    hits = hits.select(F.col("doc_id").alias("k"), F.col("host").alias("of"), F.col("d").alias("e"), "at", "h", "words").distinct()
+    hits = hits.groupBy("k", "of", "e").agg(F.collect_set("h").alias("removed"), F.sum("words").alias("lost"))
+    measured = rows.select(*(["row"] if keep_rows else []), "doc_id", "host", "d", *base_columns(F.col("body")))
     joined = measured.join(hits, (F.col("d") == F.col("e")) & F.col("doc_id").eqNullSafe(F.col("k")) & F.col("host").eqNullSafe(F.col("of")), "left")
     removed = F.coalesce("removed", F.array().cast("array<bigint>"))
-    lost = F.aggregate(F.filter("lines", lambda x: F.array_contains(removed, x["h"])), F.lit(0), lambda a, x: a + x["words"]).cast("long")
     out = joined.select(
         *(["row", removed.alias("removed")] if keep_rows else []),
         "doc_id", "counts.n_words", "word_chars", "n_symbols", "n_dup_lines", "counts.n_repeat_words",
-        F.when(F.col("removed").isNull(), F.lit(0)).otherwise(lost).cast("long").alias("n_removed_words"),
+        F.coalesce("lost", F.lit(0)).cast("long").alias("n_removed_words"),
     )
     out = out.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= least_kept * F.col("n_words")))
@@ -137,7 +149,7 @@ def filter_documents(docs: DataFrame, *, text: str = "text", **options) -> DataF
 VERDICT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
-def oracle(min_docs: int = 20, share: float = 0.1, least_kept: float = 0.3) -> str:
+def oracle(min_docs: int = MIN_DOCS, share: float = SHARE, max_docs: int = MAX_DOCS, least_kept: float = LEAST_KEPT) -> str:
     """DuckDB SQL of judge() with these parameters."""
     space = r"[\x20\x09-\x0D]+"
     return f"""
@@ -150,7 +162,7 @@ l AS (SELECT doc_id, source, body, unnest(string_split(body, chr(10))) AS line F
 lw AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '{space}', ' ', 'g'), '[0-9]+', '0', 'g')) AS norm, len(regexp_extract_all(line, '{WORD}')) AS words FROM l WHERE regexp_matches(line, '{WORD}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY doc_id),
 hosts AS (SELECT source, count(DISTINCT body) AS texts FROM d GROUP BY source),
-freq AS (SELECT f.source, f.norm FROM (SELECT source, norm, count(DISTINCT body) AS docs FROM lw GROUP BY source, norm) f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.docs > greatest({float(min_docs)}, h.texts * {share})),
+freq AS (SELECT f.source, f.norm FROM (SELECT source, norm, count(DISTINCT body) AS docs FROM lw GROUP BY source, norm) f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.docs > greatest({float(min_docs)}, least({float(max_docs)}, h.texts * {share}))),
 lost AS (SELECT lw.doc_id, sum(lw.words) AS n FROM lw JOIN freq ON lw.norm = freq.norm AND lw.source IS NOT DISTINCT FROM freq.source GROUP BY lw.doc_id),
 m AS (SELECT w.doc_id, len(w.words)::BIGINT AS n_words, length(regexp_replace(w.body, '{space}', '', 'g'))::BIGINT AS word_chars,
   (length(w.body) - length(regexp_replace(w.body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_removed_words

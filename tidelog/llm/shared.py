@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +29,17 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share. Where none is named, local mode alone may use a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = jvm_dir.get() if jvm_dir.isDefined() else None
     if not named:
+        import tempfile
+
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         named = tempfile.mkdtemp(prefix="tidelog-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
