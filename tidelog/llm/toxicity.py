@@ -1,7 +1,9 @@
 """Toxicity scores from a small convolutional text classifier, trained in numpy.
 
 A word's embedding is the sum of two rows of a hashed table: one for the word, one for its
-first letters, so that inflected and compound forms share what was learnt. Filters of several widths run over the whole
+first letters, so that inflected and compound forms share what was learnt. The first component
+begins as the evidence that a bucket gives for either label in the training rows, so that a
+few labels are enough to go on from. Filters of several widths run over the whole
 text, each keeps its maximum, and a linear layer gives a logit. A naive Bayes head over the
 same word buckets guesses the language from the text alone, and each language has its own
 threshold, fitted on a calibration part of the training rows; the score maps that threshold
@@ -35,6 +37,8 @@ PIECE = 1 << 17
 CUT = 0.7
 #: Pulls the embeddings of words that a batch touches to zero.
 DECAY = 2e-4
+#: Evidence (the signed root of G) below CHANCE counts as none, and above it by STEP as one.
+CHANCE, STEP, MOST_STEPS = 3.0, 4.0, 1.0
 
 
 class Buckets(dict):
@@ -75,6 +79,14 @@ class Network:
         self.p["o"] = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
         self.p["c"] = np.zeros(1, np.float32)
 
+    def begin_from(self, docs: list[np.ndarray], labels: np.ndarray) -> None:
+        """The first component of the embeddings from the evidence of the training rows, and a filter that reads it."""
+        for base, own in ((0, evidence([d % BUCKETS for d in docs], labels)), (BUCKETS, evidence([d // BUCKETS for d in docs], labels))):
+            self.p["e"][base : base + BUCKETS, 0] += np.sign(own) * np.clip((np.abs(own) - CHANCE) / STEP, 0, MOST_STEPS)
+        self.p["e"][[0, BUCKETS]] = 0
+        self.p["w1"][:, 0] = 0
+        self.p["w1"][0, 0], self.p["o"][0], self.p["c"][0] = 1, 2, -2
+
     def embedded(self, ids: np.ndarray) -> np.ndarray:
         whole, start = rows_of(ids)
         return self.p["e"][whole] + self.p["e"][start]
@@ -82,7 +94,7 @@ class Network:
     def pooled(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Maxima of each document and the places they came from."""
         maxima, places = [], []
-        ends = np.append(starts[1:], len(ids) - PADDING)
+        ends = stops(ids, starts)
         for w in WIDTHS:
             x = np.concatenate([self.embedded(ids[j : len(ids) - PADDING + j]) for j in range(w)], axis=1)
             z = x @ self.p[f"w{w}"] + self.p[f"b{w}"]
@@ -131,17 +143,36 @@ class Network:
         self.p[name][at] -= rate * (m[at] / (1 - 0.9**t)) / (np.sqrt(v[at] / (1 - 0.99**t)) + 1e-6)
 
 
-def packed(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens in one array, each document followed by padding, and where each begins."""
+def evidence(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """For each bucket the signed root of the G statistic of its documents and the labels: over 0 where label 1 is likelier."""
+    seen = np.zeros((2, BUCKETS))
+    for d, y in zip(docs, labels):
+        seen[int(y), np.unique(d)] += 1
+    share = labels.mean() if len(labels) else 0.0
+    expected = seen.sum(axis=0) * np.array([[1 - share], [share]])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * np.where(seen > 0, seen * np.log(seen / expected), 0).sum(axis=0)
+    return np.sign(seen[1] - expected[1]) * np.sqrt(np.maximum(g, 0))
+
+
+def packed(docs: list[np.ndarray], tails: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens in one array, each document followed by padding (by the first tokens that come after it, where it is a piece), and where each begins."""
     gap = np.zeros(PADDING, np.int32)
-    parts = [x for d in docs for x in (d if len(d) else gap[:1], gap)]
+    after = [gap] * len(docs) if tails is None else [np.concatenate([t, gap[len(t) :]]) for t in tails]
+    parts = [x for d, t in zip(docs, after) for x in (d if len(d) else gap[:1], t)]
     lengths = [max(1, len(d)) + PADDING for d in docs]
     return np.concatenate([*parts, gap]), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
+def stops(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the padding of each document begins."""
+    return np.append(starts[1:], len(ids) - PADDING) - PADDING
+
+
 def train_network(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = 8, least_steps: int = 400, seed: int = 11, batch: int = 64, rate: float = 0.01) -> Network:
     """Adam over `epochs` passes, or as many more as small samples need for `least_steps` steps."""
     net, rng = Network(seed), np.random.default_rng(seed)
+    net.begin_from(docs, labels)
     batch = max(8, min(batch, len(docs) // 8))
     epochs = max(epochs, -(-least_steps * batch // max(1, len(docs))))
     adam = {"t": 0, "m": {k: np.zeros_like(v) for k, v in net.p.items()}, "v": {k: np.zeros_like(v) for k, v in net.p.items()}}
@@ -170,26 +201,28 @@ def maxima(ids: np.ndarray, starts: np.ndarray, net: Network, products: list[lis
         for j in range(1, w):
             z += parts[j][whole[j : n + j]]
             z += parts[j][start[j : n + j]]
-        out.append(np.maximum.reduceat(z, starts, axis=0) + net.p[f"b{w}"])
+        # windows that begin in the padding would reach into the next document
+        out.append(np.maximum.reduceat(z, np.stack([starts, stops(ids, starts)], 1).ravel(), axis=0)[::2] + net.p[f"b{w}"])
     return np.concatenate(out, axis=1)
 
 
 def logits(docs: list[np.ndarray], net: Network, products: list[list[np.ndarray]]) -> np.ndarray:
     """Logits of whole documents; the maximum over overlapping pieces is that over the text."""
     out = np.full((len(docs), len(WIDTHS) * FILTERS), -np.inf, np.float32)
-    group, owners, size = [], [], 0
+    group, tails, owners, size = [], [], [], 0
 
     def flush() -> None:
-        np.maximum.at(out, owners, maxima(*packed(group), net, products))
+        np.maximum.at(out, owners, maxima(*packed(group, tails), net, products))
 
     for at, d in enumerate(docs):
         for start in range(0, max(1, len(d)), PIECE):
-            group.append(d[start : start + PIECE + PADDING])
+            group.append(d[start : start + PIECE])
+            tails.append(d[start + PIECE : start + PIECE + PADDING])
             owners.append(at)
             size += len(group[-1])
             if size >= PIECE:
                 flush()
-                group, owners, size = [], [], 0
+                group, tails, owners, size = [], [], [], 0
     if group:
         flush()
     return np.maximum(out, 0) @ net.p["o"] + net.p["c"]
