@@ -85,8 +85,31 @@ def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
 
+def phrases_of(text):
+    import xxhash
+
+    alone = "\u0e00-\u0e7f\u2e80-\u9fff\uac00-\ud7af"
+    space = " \t\n\x0b\f\r"
+    out, held = [], ""
+    for token in re.findall(f"[{space}]*+(?:[{alone}]|[^{space}{alone}]{{1,64}}+)|[{space}]+", text):
+        held += token
+        if int.from_bytes(xxhash.xxh64_digest(token.strip(" ").encode(), 42), "big", signed=True) % merkle.PHRASE == 0:
+            out.append(held)
+            held = ""
+    return out + [held] * bool(held)
+
+
+def leaves_of(text):
+    return [[list(map(sha, phrases_of(p))) for p in s] for s in tree_of(text)]
+
+
 def root_of(text):
-    return sha("".join(sha("".join(map(sha, s))) for s in tree_of(text)))
+    return sha("".join(sha("".join(sha("".join(p)) for p in s)) for s in leaves_of(text)))
+
+
+def likeness_of(a, b):
+    a, b = ({x[:8] for s in leaves_of(t) for p in s for x in p} for t in (a, b))
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
 
 
 def check_merkle(rows, got):
@@ -97,15 +120,34 @@ def check_merkle(rows, got):
     for at, (k, t) in enumerate(order):
         after = order[(at + 1) % len(order)][1]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        want.append((k, len(t), sha(edited), root_of(t), root_of(edited)))
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint[:64], r.edited_fingerprint[:64]) for r in got) == Counter(want)
+        want.append((k, len(t), sha(edited), root_of(t), root_of(edited), round(likeness_of(t, edited), 9), round(likeness_of(t, after), 9)))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint[:64], r.edited_fingerprint[:64], round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == Counter(want)
     for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert (r.fingerprint == r.edited_fingerprint) == (r.first_edit is None)
         if r.fingerprint == r.edited_fingerprint:
             assert r.near_edited == 1
 
 
+def test_op4_an_inserted_word_changes_little(spark):
+    import random
+
+    rng = random.Random(2)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(40):
+        own = words(300)
+        at = rng.randrange(300)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(["new", *own] if k % 2 else [*own[:at], "new", *own[at:]]))]
+    got = {r.doc_id: r.near_next for r in merkle.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[2 * k] for k in range(40)) > 0.9 and max(got[2 * k + 1] for k in range(40)) < 0.1
+
+
+def test_op4_ids_of_text(spark, monkeypatch):
+    rows = [(f"doc,{k:05d}", f"text number {k}\nof many") for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    check_merkle(rows, merkle.compare_edited(df).collect())
+
+
 def test_op4(spark, sf, monkeypatch):
     docs = awkward(spark)
     for size in (merkle.RANGE_ROWS, 3):

@@ -1,52 +1,74 @@
 """Document fingerprints as Merkle trees, in SQL functions only.
 
 A text is cut into sections (ended by an empty line), those into paragraphs (ended by a line
-feed), each with its ending, so that the cut loses nothing. A paragraph's hash is SHA-256 of
-its text, a section's that of its paragraphs' hashes, the root's that of its sections'. Equal
-roots mean equal texts; where roots differ, the first differing section and paragraph place
-the edit. Below the paragraphs stand short digests of phrases of up to PHRASE words, from
-which the likeness of two fingerprints follows: twice the common phrases by the phrases of
-both.
+feed), and those into phrases, each with its ending, so that the cut loses nothing. A phrase
+ends after a word whose hash is a multiple of PHRASE: its content alone says where, and an
+inserted word moves no cut but its own. The leaves are SHA-256 of the phrases, a paragraph's
+hash is that of its leaves, a section's that of its paragraphs' hashes, the root's that of its
+sections'. Equal roots mean equal texts; where roots differ, the first differing section and
+paragraph place the edit. The likeness of two fingerprints follows from their leaves, shown as
+the first eight digits: twice the common ones by the leaves of both. Branches with equal
+hashes have equal leaves, so this is the sum over all branches.
 
-Fingerprint text: root ":" sections joined by "|", paragraphs by "/", phrase digests by ".".
+Fingerprint text: root ":" sections joined by "|", paragraphs by "/", leaves by ".".
 
 Defined cases: a null text is an empty one (no sections; two such fingerprints are alike: 1);
 null ids come first in the order of documents; rows of equal ids are ordered by a hash of
 their text, and repeated rows follow each other; a table of one row is followed by itself.
-Other columns are not read.
+Ids may be numbers or texts. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.shared import bind
+from tidelog.llm.shared import bind, hash_fraction
 
+#: Words in a phrase, on average.
 PHRASE = 6
+#: A word with the white space before it; letters of scripts without spaces stand alone, long runs are cut.
+ALONE = r"\x{0E00}-\x{0E7F}\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}"
+TOKEN = rf"\s*+(?:[{ALONE}]|[^\s{ALONE}]{{1,64}}+)|\s+"
 #: Documents in one range of ids, and ranges in one group of the two-level search.
 RANGE_ROWS, GROUP = 512, 256
-MOST_RANGES = 100_000
+#: Ranges at most; with more rows each gets more. Ids sampled for each range where they are no numbers.
+MOST_RANGES, SAMPLED = 50_000, 8
 
 
 def filled(parts: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def short_digest(text: Column) -> Column:
-    return F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(text), 32))), 8, "0")
+def phrases(text: Column) -> Column:
+    """The phrases of a paragraph, in order."""
+
+    def cut(tokens: Column) -> Column:
+        numbered = F.transform(tokens, lambda x, i: F.when(F.pmod(F.xxhash64(F.trim(x)), F.lit(PHRASE)) == 0, i + 1))
+        ends = F.filter(numbered, lambda e, i: e.isNotNull() | (i == F.size(tokens) - 1))
+
+        def between(stops: Column) -> Column:
+            # the last phrase ends with the paragraph
+            stop = lambda k: F.coalesce(F.get(stops, k), F.size(tokens))
+            start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(stops, k - 1))
+            return F.transform(stops, lambda e, k: F.array_join(F.slice(tokens, start(k) + 1, stop(k) - start(k)), ""))
+
+        return bind(ends, between)
+
+    return bind(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), cut)
 
 
 def tree(text: Column) -> Column:
-    """Sections of paragraphs of (hash, phrase digests)."""
-    phrases = F.lit(rf"(?:\s*+\S++){{1,{PHRASE}}}|\s+")
-    return F.transform(
-        filled(F.split(text, r"(?<=\n\n)")),
-        lambda section: F.transform(
-            filled(F.split(section, r"(?<=\n)")),
-            lambda p: F.struct(F.sha2(p, 256).alias("hash"), F.transform(F.regexp_extract_all(p, phrases, F.lit(0)), short_digest).alias("phrases")),
-        ),
-    )
+    """Sections of paragraphs of (hash, leaves)."""
+
+    def paragraph(p: Column) -> Column:
+        leaves = F.transform(phrases(p), lambda x: F.sha2(x, 256))
+        return bind(leaves, lambda x: F.struct(F.sha2(F.array_join(x, ""), 256).alias("hash"), F.transform(x, lambda h: F.substring(h, 1, 8)).alias("leaves")))
+
+    return F.transform(filled(F.split(text, r"(?<=\n\n)")), lambda section: F.transform(filled(F.split(section, r"(?<=\n)")), paragraph))
 
 
 def section_hashes(t: Column) -> Column:
@@ -54,23 +76,23 @@ def section_hashes(t: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """A struct: fingerprint (text), paragraphs (hashes in order), phrases (all digests)."""
+    """A struct: fingerprint (text), paragraphs (hashes in order), leaves (all digests)."""
 
     def made(t: Column) -> Column:
         root = F.sha2(F.array_join(section_hashes(t), ""), 256)
-        shown = F.array_join(F.transform(t, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(p["phrases"], ".")), "/")), "|")
+        shown = F.array_join(F.transform(t, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(p["leaves"], ".")), "/")), "|")
         paragraphs = F.flatten(t)
         return F.struct(
             F.concat(root, F.lit(":"), shown).alias("fingerprint"),
             F.transform(paragraphs, lambda p: p["hash"]).alias("paragraphs"),
-            F.flatten(F.transform(paragraphs, lambda p: p["phrases"])).alias("phrases"),
+            F.flatten(F.transform(paragraphs, lambda p: p["leaves"])).alias("leaves"),
         )
 
     return bind(tree(text), made)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two arrays of phrase digests, 0 to 1."""
+    """Of two arrays of leaves, 0 to 1."""
 
     def of(x: Column) -> Column:
         both = F.size(F.array_intersect(x["a"], x["b"]))
@@ -94,14 +116,20 @@ def ranges(docs: DataFrame, key: str) -> tuple[list, object, bool]:
     count = min(MOST_RANGES, -(-n // RANGE_ROWS))
     if count < 2 or least is None:
         return [], least, nulls > 0
-    shares = [k / count for k in range(1, count)]
-    found = seen.agg(F.percentile_approx("k", shares, 20 * count)).first()[0]
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        shares = [k / count for k in range(1, count)]
+        found = seen.agg(F.percentile_approx("k", shares, 20 * count)).first()[0]
+    else:
+        # at most about SAMPLED * MOST_RANGES ids
+        rate = min(1.0, SAMPLED * count / n)
+        sample = sorted(r[0] for r in seen.where(F.col("k").isNotNull() & (hash_fraction(F.col("k").cast("string")) < rate)).collect())
+        found = [sample[len(sample) * k // count] for k in range(1, count)] if sample else []
     return sorted({x for x in found if x > least}), least, nulls > 0
 
 
 def constants(values: list, kind: str) -> Column:
     """An array that the optimiser folds to one literal, however long it is."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    return F.from_json(F.lit(json.dumps([str(x) for x in values])), "array<string>").cast(f"array<{kind}>")
 
 
 def range_of(key: Column, bounds: list, kind: str) -> Column:
@@ -142,7 +170,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring("body", F.lit(1), size - half), F.substring(F.coalesce("next_body", F.lit("")), F.lit(1), half))
     rows = rows.select("key", "range", "turn", F.xxhash64("body").alias("tie"), size.cast("long").alias("n_chars"), fingerprint(F.col("body")).alias("own"), F.when(F.col("turn") == 0, edited).alias("edited"))
-    rows = rows.withColumn("after", F.lead("own.phrases").over(Window.partitionBy("range").orderBy("turn", F.col("key").asc_nulls_first(), "tie")))
+    rows = rows.withColumn("after", F.lead("own.leaves").over(Window.partitionBy("range").orderBy("turn", F.col("key").asc_nulls_first(), "tie")))
     rows = rows.where("turn = 0").select("key", "n_chars", "own", "after", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("other"))
     return rows.select(
         F.col("key").alias("doc_id"),
@@ -150,7 +178,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         "edited_sha256",
         F.col("own.fingerprint").alias("fingerprint"),
         F.col("other.fingerprint").alias("edited_fingerprint"),
-        likeness(F.col("own.phrases"), F.col("other.phrases")).alias("near_edited"),
-        likeness(F.col("own.phrases"), F.col("after")).alias("near_next"),
+        likeness(F.col("own.leaves"), F.col("other.leaves")).alias("near_edited"),
+        likeness(F.col("own.leaves"), F.col("after")).alias("near_next"),
         first_difference(F.col("own.paragraphs"), F.col("other.paragraphs")).alias("first_edit"),
     )
