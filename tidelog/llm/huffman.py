@@ -49,7 +49,8 @@ class WordTokenizer:
     """The ids that the tokenizers library gives, word by word, for a lower-casing BPE tokenizer with word ends.
 
     White space is dropped before the merges, so the ids of a text are those of its words in a
-    row. The library encodes each word once; its ids are remembered (up to a fixed number).
+    row. The library encodes new words together, in one call, and their ids are told apart by
+    the word ends of the vocabulary; they are remembered (up to a fixed number).
     Texts with characters for which lower-casing, composition or classes might look beyond a
     word go to the library whole.
     """
@@ -57,7 +58,10 @@ class WordTokenizer:
     _held: dict[str, WordTokenizer] = {}
     #: ASCII, and letters of Latin scripts that have one code point in either case.
     PLAIN = re.compile("[^\t\n\x0b\x0c\r -~\xa1\xab\xbb\xbf\xc0-\xd6\xd8-\xf6\xf8-\xffĀ-įı-ňŊ-ž–—‘’“”…]")
-    REMEMBERED = 300_000
+    LETTERS = "a-z\xdf-\xf6\xf8-\xffĀ-ž"
+    #: The split of the tokenizer over those characters, lower-cased: a fixed value of the format.
+    SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
+    REMEMBERED = 500_000
 
     def __init__(self, path: str):
         import json
@@ -70,6 +74,9 @@ class WordTokenizer:
         if described["model"].get("end_of_word_suffix") != "</w>" or [x["type"] for x in described["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"{path}: not a lower-casing BPE tokenizer with word ends")
         self.size = 1 + max([*(x["id"] for x in described["added_tokens"]), *described["model"]["vocab"].values()])
+        self.ends = np.zeros(self.size, bool)
+        for token, at in described["model"]["vocab"].items():
+            self.ends[at] = token.endswith("</w>")
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -83,8 +90,15 @@ class WordTokenizer:
         return cls._held[path]
 
     def learn(self, words: list[str]) -> None:
-        for w, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[w] = np.asarray(found.ids, self.dtype).tobytes()
+        ids = np.asarray(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
+        pieces = np.cumsum([1 if w.isalpha() else len(self.SPLIT.findall(w)) for w in words])
+        after = (np.flatnonzero(self.ends[ids]) + 1)[pieces - 1]
+        packed = ids.astype(self.dtype).tobytes()
+        step = np.dtype(self.dtype).itemsize
+        before = 0
+        for w, end in zip(words, (after * step).tolist()):
+            self.known[w] = packed[before:end]
+            before = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, packed as self.dtype."""
