@@ -61,7 +61,9 @@ class WordTokenizer:
     LETTERS = "a-z\xdf-\xf6\xf8-\xffĀ-ž"
     #: The split of the tokenizer over those characters, lower-cased: a fixed value of the format.
     SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
-    REMEMBERED = 500_000
+    #: A single mark after a letter, at the end of a word, is a piece of its own: apart from its word, fewer words are new.
+    MARK = re.compile(rf"(?<=[{LETTERS}])([.,])(?=\s|$)")
+    REMEMBERED = 1_000_000
 
     def __init__(self, path: str):
         import json
@@ -104,9 +106,9 @@ class WordTokenizer:
         """Ids of each text, packed as self.dtype."""
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
-        split = [None if t and ("<|" in t or self.PLAIN.search(t)) else t.lower().split() if t else [] for t in texts]
+        split = [None if t and ("<|" in t or self.PLAIN.search(t)) else self.MARK.sub(r" \1", t.lower()).split() if t else [] for t in texts]
         known = self.known
-        fresh = list({w for words in split if words for w in words if w not in known})
+        fresh = list(set().union(*filter(None, split)).difference(known))
         if fresh:
             self.learn(fresh)
         return [
