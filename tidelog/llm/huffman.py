@@ -26,10 +26,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ LIMIT = 18
 CHECKPOINT = 256
 #: Ids after which a block is closed.
 BLOCK = 1 << 17
+#: Bytes of texts that are tokenised together.
+TEXTS = 1 << 23
 
 BLOCKS = "part int, start long, doc_ids array<{kind}>, lengths array<long>, n_ids long, ids binary"
 CODED = "part int, start long, doc_ids array<{kind}>, lengths array<long>, n_ids long, checkpoints binary, payload binary"
@@ -49,8 +52,9 @@ class WordTokenizer:
     """The ids that the tokenizers library gives, word by word, for a lower-casing BPE tokenizer with word ends.
 
     White space is dropped before the merges, so the ids of a text are those of its words in a
-    row. The library encodes new words together, in one call, and their ids are told apart by
-    the word ends of the vocabulary; they are remembered (up to a fixed number).
+    row. Texts are cut into words and their words numbered column-wise. The library encodes new
+    words together, in one call, and their ids are told apart by the word ends of the
+    vocabulary; they are remembered (up to a fixed number).
     Texts with characters for which lower-casing, composition or classes might look beyond a
     word go to the library whole.
     """
@@ -61,8 +65,8 @@ class WordTokenizer:
     LETTERS = "a-z\xdf-\xf6\xf8-\xffĀ-ž"
     #: The split of the tokenizer over those characters, lower-cased: a fixed value of the format.
     SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
-    #: A single mark after a letter, at the end of a word, is a piece of its own: apart from its word, fewer words are new.
-    MARK = re.compile(rf"(?<=[{LETTERS}])([.,])(?=\s|$)")
+    #: Marks after a letter, at the end of a word, are a piece of their own: apart from their word, fewer words are new.
+    MARKS = rf"([{LETTERS}])([!-/:-@\[-`{{-~]+)(\s|$)"
     REMEMBERED = 1_000_000
 
     def __init__(self, path: str):
@@ -83,7 +87,7 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -91,30 +95,59 @@ class WordTokenizer:
             cls._held[path] = cls(path)
         return cls._held[path]
 
+    def forget(self) -> None:
+        #: Word to its number, and the place and length of its ids in the pool.
+        self.known: dict[str, int] = {}
+        self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
     def learn(self, words: list[str]) -> None:
-        ids = np.asarray(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
+        ids = np.asarray(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        # no piece for the empty word, which stands for white space at the ends of a text
         pieces = np.cumsum([1 if w.isalpha() else len(self.SPLIT.findall(w)) for w in words])
-        after = (np.flatnonzero(self.ends[ids]) + 1)[pieces - 1]
-        packed = ids.astype(self.dtype).tobytes()
-        step = np.dtype(self.dtype).itemsize
-        before = 0
-        for w, end in zip(words, (after * step).tolist()):
-            self.known[w] = packed[before:end]
-            before = end
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        ends = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])[pieces]
+        starts = np.concatenate([[0], ends[:-1]])
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.starts = np.concatenate([self.starts, starts + len(self.pool)])
+        self.lengths = np.concatenate([self.lengths, ends - starts])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each text, packed as self.dtype."""
         if len(self.known) > self.REMEMBERED:
-            self.known.clear()
-        split = [None if t and ("<|" in t or self.PLAIN.search(t)) else self.MARK.sub(r" \1", t.lower()).split() if t else [] for t in texts]
-        known = self.known
-        fresh = list(set().union(*filter(None, split)).difference(known))
-        if fresh:
-            self.learn(fresh)
-        return [
-            np.asarray(self.library.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if words is None else b"".join(map(known.__getitem__, words))
-            for t, words in zip(texts, split)
-        ]
+            self.forget()
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        texts = texts.fill_null("")
+        whole = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, self.PLAIN.pattern))
+        lower = pc.utf8_lower(pc.if_else(whole, "", texts))
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, self.MARKS, r"\1 \2\3"))
+        numbered = words.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            number[fresh] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self.learn([distinct[k] for k in fresh.tolist()])
+        row = number[numbered.indices.to_numpy()]
+        lengths = self.lengths[row]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        packed = self.pool[np.repeat(self.starts[row] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
+        cuts = ends[np.cumsum(pc.list_value_length(words).to_numpy())] * np.dtype(self.dtype).itemsize
+        out = [packed[s:e] for s, e in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = np.asarray(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, self.dtype).tobytes()
+        return out
+
+
+def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `size` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, *, block: int = BLOCK) -> DataFrame:
@@ -136,9 +169,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int, *, block: int = BLOCK) ->
             types = [pa.int32(), pa.int64(), pa.list_(of_key), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "start", "doc_ids", "lengths", "n_ids", "ids"])
 
-        for b in batches:
+        for b in gathered(batches, TEXTS):
             of_key = b.schema.field(0).type
-            for key, packed in zip(b.column(0).to_pylist(), tokenizer.encode(b.column(1).to_pylist())):
+            for key, packed in zip(b.column(0).to_pylist(), tokenizer.encode(b.column(1))):
                 keys.append(key)
                 ids.append(packed + end)
                 held += len(packed) // step + 1
