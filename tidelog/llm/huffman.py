@@ -21,6 +21,7 @@ are not read.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import uuid
@@ -42,7 +43,7 @@ CHECKPOINT = 256
 #: Ids after which a block is closed.
 BLOCK = 1 << 17
 #: Bytes of texts that are tokenised together.
-TEXTS = 1 << 23
+TEXTS = 1 << 22
 
 BLOCKS = "part int, start long, doc_ids array<{kind}>, lengths array<long>, n_ids long, ids binary"
 CODED = "part int, start long, doc_ids array<{kind}>, lengths array<long>, n_ids long, checkpoints binary, payload binary"
@@ -54,7 +55,7 @@ class WordTokenizer:
     White space is dropped before the merges, so the ids of a text are those of its words in a
     row. Texts are cut into words and their words numbered column-wise. The library encodes new
     words together, in one call, and their ids are told apart by the word ends of the
-    vocabulary; they are remembered (up to a fixed number).
+    vocabulary; the most used are remembered.
     Texts with characters for which lower-casing, composition or classes might look beyond a
     word go to the library whole.
     """
@@ -67,7 +68,9 @@ class WordTokenizer:
     SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
     #: Marks after a letter, at the end of a word, are a piece of their own: apart from their word, fewer words are new.
     MARKS = rf"([{LETTERS}])([!-/:-@\[-`{{-~]+)(\s|$)"
-    REMEMBERED = 1_000_000
+    REMEMBERED = 300_000
+    #: Words in one call of the library, which takes some kB of memory for each.
+    TOGETHER = 4096
 
     def __init__(self, path: str):
         import json
@@ -87,7 +90,10 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.forget()
+        #: Word to its number; by number the place and length of its ids in the pool, and how many runs of texts had it.
+        self.known: dict[str, int] = {}
+        self.starts, self.lengths, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.pool = np.zeros(0, self.dtype)
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -96,12 +102,19 @@ class WordTokenizer:
         return cls._held[path]
 
     def forget(self) -> None:
-        #: Word to its number, and the place and length of its ids in the pool.
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        """Keep the words that most runs of texts had, up to half of those that may be remembered."""
+        words, most = list(self.known), self.REMEMBERED // 2
+        least = max(2, int(np.partition(self.used, -most)[-most]) + 1 if len(words) > most else 0)
+        keep = np.flatnonzero(self.used >= least)
+        lengths = self.lengths[keep]
+        ends = np.cumsum(lengths)
+        self.pool = self.pool[np.repeat(self.starts[keep] - (ends - lengths), lengths) + np.arange(lengths.sum())]
+        self.starts, self.lengths, self.used = ends - lengths, lengths, self.used[keep] // 2
+        self.known = dict(zip([words[k] for k in keep.tolist()], range(len(keep))))
 
     def learn(self, words: list[str]) -> None:
-        ids = np.asarray(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        runs = (" ".join(words[k : k + self.TOGETHER]) for k in range(0, len(words), self.TOGETHER))
+        ids = np.concatenate([np.asarray(self.library.encode_batch_fast([r], add_special_tokens=False)[0].ids, self.dtype) for r in runs])
         # no piece for the empty word, which stands for white space at the ends of a text
         pieces = np.cumsum([1 if w.isalpha() else len(self.SPLIT.findall(w)) for w in words])
         ends = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])[pieces]
@@ -109,6 +122,7 @@ class WordTokenizer:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
         self.starts = np.concatenate([self.starts, starts + len(self.pool)])
         self.lengths = np.concatenate([self.lengths, ends - starts])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
         self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
@@ -127,6 +141,7 @@ class WordTokenizer:
         if len(fresh):
             number[fresh] = np.arange(len(self.known), len(self.known) + len(fresh))
             self.learn([distinct[k] for k in fresh.tolist()])
+        self.used[number] += 1
         row = number[numbered.indices.to_numpy()]
         lengths = self.lengths[row]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -138,6 +153,14 @@ class WordTokenizer:
         return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system: an executor may hold more Python workers than run at a time."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about `size` bytes."""
     held: list[pa.RecordBatch] = []
@@ -181,6 +204,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, *, block: int = BLOCK) ->
                     keys, ids, held = [], [], 0
         if keys:
             yield closed()
+        give_back()
 
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, BLOCKS.format(kind=kind))
