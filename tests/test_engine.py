@@ -189,6 +189,52 @@ def test_patterns_mask_and_merge(spark, e):
     assert got[0] == ("user <*> logged in from <*>", 20) and ("disk full", 1) in got and ("user <*> logged out now", 2) in got
 
 
+def test_registered_glimpse_profiles_every_row(spark, sf, tmp_path):
+    import os
+
+    from tests.oracle import duck_rows, spark_rows
+    from tidelog.queries import ORACLES, QUERIES
+
+    for name in os.listdir(sf):
+        if name != "customer.parquet":
+            os.symlink(f"{sf}/{name}", tmp_path / name)
+    customers, copies = spark.read.parquet(f"{sf}/customer.parquet"), spark.range(1000).withColumnRenamed("id", "copy")
+    keys = customers.count()
+    out = customers.crossJoin(copies).withColumn("c_custkey", F.col("c_custkey") + keys * F.col("copy")).withColumn("c_acctbal", F.round(F.col("c_acctbal") + F.col("copy") / 50, 2)).drop("copy")
+    out.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (part,) = (tmp_path / "written").glob("part-*.parquet")
+    part.rename(tmp_path / "customer.parquet")
+    for left in (tmp_path / "written").iterdir():
+        left.unlink()
+    (tmp_path / "written").rmdir()
+    assert keys * 1000 > 100_000
+    assert spark_rows(QUERIES["glimpse"](spark, str(tmp_path))) == duck_rows(str(tmp_path), ORACLES["glimpse"])
+
+
+def test_percentiles_by_rank_are_exact(spark):
+    i = F.col("id")
+    fields = {
+        "one": F.when(i == 7, 3.5), "two": F.when(i < 2, i), "none": F.lit(None), "key": i, "skewed": F.exp(i / 40), "mostly zero": F.when(i % 5 < 3, 0.0).otherwise(-i), "few": i % 3, "half null": F.when(i % 2 == 0, i % 97),
+        "at the middle": F.when(i < 2001, -1.5).otherwise(i), "odd": F.when(i == 1, float("nan")).when(i == 2, float("inf")).when(i == 3, float("-inf")).when(i == 4, -0.0).otherwise(i - 2000), "negative": -i * i,
+    }
+    for rows in (1, 2, 4002, 4003):
+        cells = [F.struct(F.lit(k).alias("field"), v.cast("double").alias("n")) for k, v in fields.items()]
+        long = spark.range(rows).select(F.inline(F.array(*cells)))
+        shares = {"low": 0.0, "first": 0.01, "p50": 0.5, "p99": 0.99, "high": 1.0}
+        want = long.where("n is not null").groupBy("field").agg(*[F.percentile("n", p).alias(k) for k, p in shares.items()])
+        assert sorted(map(str, analytics.percentiles(long, shares).collect())) == sorted(map(str, want.collect()))
+
+
+def test_glimpse_of_all_rows_and_of_a_sample_agree(spark, e):
+    df = table(spark, "a int, s string, t timestamp, d double", *[(k % 7 if k % 3 else None, ["x", "5", "10", "", None, " 7", "1e3"][k % 7], datetime(2024, 1, 1 + k % 3), k / 8) for k in range(300)])
+    whole = run(e, df, "| glimpse all")
+    assert whole == run(e, df, "| glimpse 300") == run(e, df, "| glimpse")
+    got = {r[0]: r[1:] for r in whole}
+    assert got["a"] == ("int", 300, 100 * (200 / 300), 100 - 100 * (200 / 300), 7, "1 (29), 2 (29), 4 (29), 5 (29), 0 (28)", 0.0, 3.0, 6.0, 6.0)
+    assert got["d"][4] == 50 and got["t"][5].endswith(" (100)") and got["s"][6:] == (5.0, 10.0, 1000.0, 1000.0)
+    assert {r[2] for r in run(e, df, "| glimpse 10")} == {10} and run(e, df.where("a > 9"), "| glimpse all") == []
+
+
 def test_outliers_without_spread(spark, e):
     df = table(spark, "x double", (1.0,), (1.0,), (1.0,), (1.0,), (None,))
     for method in ("iqr", "zscore", "mad"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -193,11 +193,15 @@ def topology(df: DataFrame, source: Column, dest: Column, weight: Column | None,
 
 CARDINALITY = 50
 TOP_VALUES = 5
+PERCENTILES = {"p50": 0.5, "p99": 0.99}
+NEAR = 0.001
 
 
-def glimpse(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """One row a field over a sample of `rows` rows: type, coverage, null_pct, cardinality (50: or more), top values, min, p50, p99, max."""
-    sample = df.limit(rows)
+def glimpse(df: DataFrame, rows: int | None = 10_000) -> DataFrame:
+    """One row a field over a sample of `rows` rows (None: over all rows): type, coverage, null_pct, cardinality (50: or more), top values, min, p50, p99, max."""
+    from pyspark.sql import Window
+
+    sample = df if rows is None else df.limit(rows)
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
     if not fields:
         return df.sparkSession.createDataFrame([], "field string, type string, rows long, coverage double, null_pct double, cardinality long, top string, min double, p50 double, p99 double, max double")
@@ -206,16 +210,51 @@ def glimpse(df: DataFrame, rows: int = 10_000) -> DataFrame:
         v = of_column(quoted(f.name), f.dataType)
         cells.append(F.struct(F.lit(f.name).alias("field"), F.lit({"str": "string", "time": "timestamp", "null": "null"}.get(v.kind, v.kind)).alias("type"), text(v).alias("v"), (number(v) if v.kind in ("int", "float", "str") else F.lit(None).cast("double")).alias("n")))
     long = sample.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    sums = long.groupBy("field", "type").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("v").alias("__full"), F.count_distinct("v").alias("__d"), F.min("n").alias("min"), F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.99).alias("p99"), F.max("n").alias("max")
-    )
-    counts = long.where("v is not null").groupBy(F.col("field").alias("f"), "v").count()
-    best = counts.groupBy("f").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "v"))), 1, TOP_VALUES), lambda x: F.concat(x["v"], F.lit(" ("), (-x["c"]).cast("string"), F.lit(")"))), ", ").alias("top"))
-    joined = sums.join(best, F.col("field") == F.col("f"), "left")
+    counts = long.groupBy("field", "type", "v", "n").agg(F.count(F.lit(1)).alias("c"))
+    # a map of all values is only held where a sample bounds it
+    held = [] if rows is None else [F.percentile("n", p, F.col("c")).alias(name) for name, p in PERCENTILES.items()]
+    sums = counts.groupBy("field", "type").agg(F.sum("c").alias("rows"), F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("__full"), F.count("v").alias("__d"), F.min("n").alias("min"), F.max("n").alias("max"), *held)
+    joined = sums if rows is not None else sums.join(percentiles(long, PERCENTILES), "field", "left")
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.col("v").isNull(), F.desc("c"), "v"))
+    best = counts.withColumn("place", place).where(F.col("place") <= TOP_VALUES).where("v is not null").groupBy(F.col("field").alias("f"))
+    best = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "v", "c"))), lambda x: F.concat(x["v"], F.lit(" ("), x["c"].cast("string"), F.lit(")"))), ", ").alias("top"))
+    joined = joined.join(best, F.col("field") == F.col("f"), "left")
     full = F.col("__full") / F.col("rows")
     return joined.select("field", "type", "rows", (100 * full).alias("coverage"), (100 - 100 * full).alias("null_pct"), F.least(F.col("__d"), F.lit(CARDINALITY)).cast("long").alias("cardinality"), "top", "min", "p50", "p99", "max").orderBy("field")
 
 
+def percentiles(rows: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """field and a column for each share from field, n: exact, as F.percentile gives them.
+
+    Sketches only say where to cut. The rows counted between the cuts tell in which part a wanted
+    rank lies, and only the values of that part are put in order.
+    """
+    from pyspark.sql import Window
+
+    rows = rows.where("n is not null")
+    counts = rows.groupBy("field", "n").agg(F.count(F.lit(1)).alias("c"))
+    near = sorted(min(max(p + d, 0.0), 1.0) for p in shares.values() for d in (-NEAR, NEAR))
+    cuts = rows.groupBy(F.col("field").alias("f")).agg(F.percentile_approx("n", near, 10_000).alias("cuts"))  # one row a field
+    # a value at a cut is a part of its own, as it may be most of the rows
+    part = sum(((F.col("n") > F.col("cuts")[i]).cast("int") + (F.col("n") >= F.col("cuts")[i]).cast("int") for i in range(len(near))), F.lit(0))
+    parts = counts.join(F.broadcast(cuts), F.col("field") == F.col("f")).groupBy("f", part.alias("part")).agg(F.sum("c").alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
+    w = Window.partitionBy("f")
+    before = F.coalesce(F.sum("k").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = {name: p * (F.sum("k").over(w) - 1) for name, p in shares.items()}
+    ranks = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), x.alias("at"), rank(x).alias("rank")) for name, x in at.items() for side, rank in (("low", F.floor), ("high", F.ceil))]
+    parts = parts.select("f", "low", "high", "k", before.alias("before"), F.array(*ranks).alias("ranks")).select("f", "low", "high", "k", "before", F.inline("ranks"))
+    parts = parts.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("k"))).drop("k")  # two rows a field and share
+    inside = counts.join(F.broadcast(parts), (F.col("field") == F.col("f")) & F.col("n").between(F.col("low"), F.col("high")))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("field", "name", "side").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = inside.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+
+    def between(name: str) -> Column:
+        a, b, x = (F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col(c))) for side, c in (("low", "n"), ("high", "n"), ("low", "at")))
+        return F.when(a == b, a).otherwise((F.ceil(x) - x) * a + (x - F.floor(x)) * b).alias(name)
+
+    return found.groupBy("field").agg(*map(between, shares))
+
+
 def histogram(df: DataFrame, seconds: float, by: str | None = None, time: str = "_time") -> DataFrame:
     """Counts per time bucket."""
     from tidelog.functions.values import bucket
